@@ -655,3 +655,104 @@ def edges_last_wins(spark: SparkSession, sf: str) -> DataFrame:
     k = F.struct("l_shipdate", "l_linenumber", "l_extendedprice", "l_quantity")
     rows = line.select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), F.lit("contains").alias("rel_type"), F.col("l_discount").alias("confidence"), k.alias("k"))
     return changes.last_wins(rows, ["src", "dst", "rel_type"], "k").drop("k")
+
+
+def _router_sql() -> str:
+    from plexgraph.functions.questions import ROUTES
+
+    cases = " ".join(f"WHEN regexp_matches(q, '(?i){p}') THEN '{name}'" for name, p in ROUTES)
+    return f"SELECT conv_id, turn, CASE {cases} ELSE 'query' END AS route FROM (SELECT conv_id, turn, coalesce(text, '') || CASE turn % 5 WHEN 0 THEN ' what breaks if it goes' WHEN 1 THEN ' who calls it' WHEN 2 THEN ' is it dead code' WHEN 3 THEN '' ELSE ' explain the cycle' END AS q FROM conversations)"
+
+
+@query(_router_sql())
+def question_router(spark: SparkSession, sf: str) -> DataFrame:
+    from plexgraph.functions.questions import route
+
+    ends = F.when(F.col("turn") % 5 == 0, " what breaks if it goes").when(F.col("turn") % 5 == 1, " who calls it").when(F.col("turn") % 5 == 2, " is it dead code").when(F.col("turn") % 5 == 3, "").otherwise(" explain the cycle")
+    return table(spark, sf, "conversations").select("conv_id", "turn", route(F.concat(F.coalesce("text", F.lit("")), ends)).alias("route"))
+
+
+@query("SELECT 'part:' || p_partkey AS id, CASE WHEN contains('/' || p_brand || '/' || p_type, '/tests/') THEN 1.0 ELSE 2.0 END::DOUBLE AS score FROM part WHERE p_name = (SELECT max(p_name) FROM part) ORDER BY 'part:' || p_partkey LIMIT 1")
+def resolve_symbol(spark: SparkSession, sf: str) -> DataFrame:
+    name = table(spark, sf, "part").agg(F.max("p_name")).first()[0]
+    nodes = part_nodes(spark, sf)
+    ranked = search.fuzzy(nodes, name, 5).select("id", "score")
+    return lookup.resolve(nodes, name, ranked).join(nodes, "id").select("id", F.lit(2.0).alias("score"))
+
+
+_HUNK_SQL = """h AS (SELECT doc_id, 'f' || (doc_id % 7) AS file, 1 + doc_id % 50 AS s, doc_id % 9 AS c FROM documents)"""
+
+
+@query(f"WITH {_HUNK_SQL} SELECT file, s AS start, s + greatest(c, 1) - 1 AS stop FROM h")
+def diff_hunks(spark: SparkSession, sf: str) -> DataFrame:
+    from plexgraph.sources.files import hunks
+
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("f"), (F.col("doc_id") % 7).cast("string")).alias("f"), (1 + F.col("doc_id") % 50).cast("string").alias("s"), (F.col("doc_id") % 9).cast("string").alias("c"))
+    text = F.concat(F.lit("diff --git a/"), "f", F.lit(" b/"), "f", F.lit("\n--- a/x\n+++ b/x\n@@ -1,2 +"), "s", F.lit(","), "c", F.lit(" @@\n+x\n"))
+    return hunks(d.select("id", text.alias("diff")))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'write' WHEN doc_id % 4 = 1 THEN 'first_clause' WHEN doc_id % 4 = 2 THEN 'procedure' END AS refusal FROM documents")
+def read_only_guard(spark: SparkSession, sf: str) -> DataFrame:
+    from plexgraph.functions.questions import refused
+
+    k = F.col("doc_id") % 4
+    q = F.when(k == 0, "MATCH (n) SET n.x = 1").when(k == 1, "DROP TABLE x").when(k == 2, "CALL wipe()").otherwise("MATCH (n) WHERE n.t = 'drop it' RETURN n // set")
+    return table(spark, sf, "documents").select("doc_id", refused(q).alias("refusal"))
+
+
+@query(
+    """SELECT page_id, CASE WHEN name = 'Rakefile' THEN 'ruby' WHEN ext IN ('py') THEN 'python' WHEN ext = 'tsx' THEN 'tsx' WHEN ext = 'go' THEN 'go' END AS language, ign AS ignored FROM (
+SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'a.py' WHEN 1 THEN 'Rakefile' WHEN 2 THEN 'b.tsx' WHEN 3 THEN 'c.go' ELSE 'd.txt' END AS name, CASE page_id % 5 WHEN 0 THEN 'py' WHEN 2 THEN 'tsx' WHEN 3 THEN 'go' ELSE '' END AS ext, page_id % 3 = 0 AS ign FROM pages)"""
+)
+def file_languages(spark: SparkSession, sf: str) -> DataFrame:
+    from plexgraph.sources.files import is_ignored, language
+
+    k = F.col("page_id") % 5
+    name = F.when(k == 0, "a.py").when(k == 1, "Rakefile").when(k == 2, "b.tsx").when(k == 3, "c.go").otherwise("d.txt")
+    path = F.concat(F.when(F.col("page_id") % 3 == 0, "x/node_modules/").otherwise("x/src/"), name)
+    return table(spark, sf, "pages").select("page_id", language(path).alias("language"), is_ignored(path).alias("ignored"))
+
+
+_TESTS = ["tests/a.py", "src/latest.py", "web/x.spec.ts", "go/b_test.go", "lib/contest/a.rb"]
+
+
+@query("SELECT page_id, page_id % 5 IN (0, 2, 3) AS is_test FROM pages")
+def is_test_path(spark: SparkSession, sf: str) -> DataFrame:
+    from plexgraph.functions.predicates import is_test_file
+
+    path = F.element_at(F.array(*[F.lit(t) for t in _TESTS]), (F.col("page_id") % 5 + 1).cast("int"))
+    return table(spark, sf, "pages").select("page_id", is_test_file(path).alias("is_test"))
+
+
+_FLOWS_SQL = f"""WITH {NEXT_SQL}, roots AS (SELECT DISTINCT src FROM nx WHERE src NOT IN (SELECT dst FROM nx)), b AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY confidence DESC, dst) AS r FROM nx)
+SELECT roots.src AS entry, b.dst AS first_step FROM roots JOIN b ON b.src = roots.src AND b.r = 1"""
+
+
+@query(_FLOWS_SQL)
+def flow_first_steps(spark: SparkSession, sf: str) -> DataFrame:
+    from plexgraph.operators.flows import trace
+
+    e = next_edges(spark, sf)
+    entries = e.select(F.col("src").alias("entry")).distinct().join(e.select(F.col("dst").alias("entry")).distinct(), "entry", "left_anti")
+    return trace(e.select("src", "dst", "confidence"), entries, depth=1).select("entry", F.get("steps", F.lit(1)).alias("first_step"))
+
+
+@query()
+def execution_flows(spark: SparkSession, sf: str) -> DataFrame:
+    """Traces from parts that follow none, without near copies; order-dependent budgets have no SQL form."""
+    from plexgraph.operators.flows import distinct_flows, trace
+
+    e = next_edges(spark, sf)
+    entries = e.select(F.col("src").alias("entry")).distinct().join(e.select(F.col("dst").alias("entry")).distinct(), "entry", "left_anti")
+    kept = distinct_flows(trace(e.select("src", "dst", "confidence"), entries).withColumn("ord", F.col("entry")))
+    return kept.select("entry", F.array_join("steps", " ").alias("steps"))
+
+
+@query()
+def node_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of part names by the hashing encoder."""
+    from plexgraph.operators.embedding import embed
+
+    rows = part_nodes(spark, sf).select("id", F.concat_ws(" ", "label", "name").alias("text"))
+    return embed(rows).select("id", F.size("vec").alias("width"), "sha")

