@@ -159,8 +159,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     """
     found = settled(near_duplicates(docs, id_col, text_col, distance).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
     keep = found.select(F.col("doc_id").alias("__keep"))
-    # Ids are near unique, so the smallest ones spread over the tasks whatever groups there are.
-    kept = docs.join(keep, docs[id_col].cast("long") == F.col("__keep"), "left_semi")
+    # Ids are near unique, so rows spread evenly whatever groups there are; one plan for all sizes, as those kept are most.
+    kept = docs.join(keep.hint("merge"), docs[id_col].cast("long") == F.col("__keep"), "left_semi")
     if found.where("n > 1").limit(1).count():
         kept = kept.dropDuplicates([id_col])
     return kept.union(docs.where(F.col(id_col).isNull()))
