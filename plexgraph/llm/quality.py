@@ -2,8 +2,9 @@
 
 Each rule compares one measure of a text with a cutoff from a fixed ladder. A cutoff may be used in a stratum (a
 language) only if the labelled good documents there show, by an exact binomial test, that it rejects at most
-``risk / rules`` of the good ones; all tests of all strata share the error ``delta`` evenly (Bonferroni). Of the cutoffs
-that pass, each rule takes the strictest. So with probability 1 - delta the rules together reject at most a share
+``risk / rules`` of the good ones. Each rule's ladder is tested from its lenient end and ends at the first cutoff that
+fails (a fixed sequence, whose tests need no correction among themselves; stricter cutoffs reject more, so none behind it
+passes); the rules of all strata share the error ``delta`` evenly (Bonferroni). The last cutoff that passes is used. So with probability 1 - delta the rules together reject at most a share
 ``risk`` of the good documents of every stratum. A stratum with too few labels gets no cutoff and rejects nothing.
 """
 
@@ -121,7 +122,7 @@ def cutoffs(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", good_col
     tests = [(r, j, m(F.col) > F.lit(c)) for r, (m, ladder) in RULES.items() for j, c in enumerate(ladder)]
     seen = trials.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(t).alias(f"x_{r}_{j}") for r, j, t in tests])
     seen = settled(seen)
-    share = F.lit(delta) / F.lit(max(1, seen.count()) * len(tests))
+    share = F.lit(delta) / F.lit(max(1, seen.count()) * len(RULES))
     allowed = seen.withColumn("k", _most_errors(F.col("n"), risk / len(RULES), share))
     strictest = [F.coalesce(*[F.when(F.col(f"x_{r}_{j}") <= F.col("k"), F.lit(float(c))) for j, c in enumerate(ladder)]).alias(r) for r, (_, ladder) in RULES.items()]
     return allowed.select("stratum", *strictest)
