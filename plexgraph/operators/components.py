@@ -130,11 +130,14 @@ def pagerank(edges: DataFrame, focus: DataFrame, iterations: int = 20, damping:
 
 
 def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(node, community) by synchronous label propagation over undirected edges: the commonest label around, ties to the smallest.
+    """(node, community) by synchronous label propagation over undirected edges: the commonest label around and at the node
+    itself, ties to the smallest.
 
-    A fixed number of rounds makes the partition deterministic; modularity is not optimised.
+    The node's own vote keeps the two ends of an edge from swapping labels for ever. A fixed number of rounds makes the partition deterministic; modularity is not optimised.
     """
-    both = settle(edges.select("src", "dst").where("src <> dst").union(edges.select("dst", "src").where("src <> dst")))
+    plain = edges.select("src", "dst").where("src <> dst")
+    ends = plain.select("src").union(plain.select("dst")).distinct()
+    both = settle(plain.union(plain.select("dst", "src")).union(ends.select("src", F.col("src").alias("dst"))))
     label = both.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
     for k in range(rounds):
         votes = both.join(label, both["dst"] == label["node"]).groupBy(F.col("src").alias("node"), "community").agg(F.count(F.lit(1)).alias("n"))

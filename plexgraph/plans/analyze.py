@@ -18,6 +18,7 @@ class Graph:
     nodes: DataFrame
     edges: DataFrame
     unresolved: DataFrame  # (path, module)
+    parsed: DataFrame  # one row for each file
     timings: dict[str, float] = field(default_factory=dict)
 
 
@@ -29,9 +30,19 @@ def _extra_nodes(rows: DataFrame, label: str, like: DataFrame) -> DataFrame:
     return rows.select(*[known.get(c, blank.get(t, F.array())).cast(like.schema[c].dataType).alias(c) for c, t in like.dtypes])
 
 
-def analyze(files: DataFrame, history: DataFrame | None = None, rounds: int = 5) -> Graph:
+def reparsed(files: DataFrame, before: DataFrame) -> DataFrame:
+    """The parse results of ``files``; those of an earlier run serve for files whose content is the same."""
+    same = before.join(files.select("path", "content", "language"), ["path", "content", "language"], "left_semi").select(*before.columns)
+    new = files.join(before.select("path", "content", "language"), ["path", "content", "language"], "left_anti")
+    return same.unionByName(parsed(new))
+
+
+def analyze(files: DataFrame, history: DataFrame | None = None, rounds: int = 5, before: DataFrame | None = None) -> Graph:
     """Graph of files (path, content, language); ``history`` (commit, item) adds coupling of files.
 
+    With the parse results of an earlier run in ``before``, only new and changed files are parsed; references are resolved
+    for all, so the result is that of a full run.
+
     The order of steps matters: imports before calls, flows before dead code, communities before flows.
     """
     timings: dict[str, float] = {}
@@ -42,7 +53,7 @@ def analyze(files: DataFrame, history: DataFrame | None = None, rounds: int = 5)
         timings[name] = perf_counter() - began
         began = perf_counter()
 
-    source = settle(parsed(files))
+    source = settle(parsed(files) if before is None else reparsed(files, before))
     lap("parse")
     symbols = settle(codegraph.nodes(source))
     contains = codegraph.edges(structure.contains(source), "contains")
@@ -88,6 +99,6 @@ def analyze(files: DataFrame, history: DataFrame | None = None, rounds: int = 5)
     for part in parts[1:]:
         every = every.unionByName(part)
     nodes = codegraph.file_nodes(source).unionByName(marked).unionByName(_extra_nodes(names, "community", marked)).unionByName(_extra_nodes(process.select("id", "name"), "process", marked))
-    out = Graph(settle(nodes), settle(every), settle(unresolved), timings)
+    out = Graph(settle(nodes), settle(every), settle(unresolved), source, timings)
     lap("write")
     return out

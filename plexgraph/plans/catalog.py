@@ -266,7 +266,7 @@ def _lpa_sql(rounds: int) -> str:
             f"""c{k + 1} AS MATERIALIZED (SELECT node, community FROM (SELECT node, community, row_number() OVER (PARTITION BY node ORDER BY n DESC, community) AS r
 FROM (SELECT u.src AS node, c.community, count(*) AS n FROM un u JOIN c{k} c ON u.dst = c.node GROUP BY 1, 2)) WHERE r = 1)"""
         )
-    return f"""{TOGETHER_SQL}, un AS (SELECT src, dst FROM tg UNION ALL SELECT dst, src FROM tg),
+    return f"""{TOGETHER_SQL}, tw AS (SELECT src, dst FROM tg UNION ALL SELECT dst, src FROM tg), un AS (SELECT src, dst FROM tw UNION ALL SELECT DISTINCT src, src FROM tw),
 c0 AS (SELECT DISTINCT src AS node, src AS community FROM un), {", ".join(steps)}"""
 
 

@@ -164,6 +164,8 @@ def test_delta_equals_rebuild_over_edits(spark):
 
     for edit in edits:
         new = analyze(table(spark, edit))
+        again = analyze(table(spark, edit), before=old.parsed)
+        assert again.nodes.exceptAll(new.nodes).isEmpty() and new.nodes.exceptAll(again.nodes).isEmpty() and again.edges.exceptAll(new.edges).isEmpty() and new.edges.exceptAll(again.edges).isEmpty()
         n, e = apply_delta(old.nodes, old.edges, *incremental.delta(old.nodes, old.edges, new.nodes, new.edges))
         assert n.exceptAll(new.nodes).isEmpty() and new.nodes.exceptAll(n).isEmpty()
         assert e.exceptAll(new.edges).isEmpty() and new.edges.exceptAll(e).isEmpty()
