@@ -198,3 +198,15 @@ def test_rare_words_leave_the_cache(monkeypatch):
     assert a[0].tolist() == b[0].tolist() and math.isclose(a[1], b[1]) and len(small) <= len(set(words))
     small._evict()
     assert set(small) == {b"the"}
+
+
+def test_large_logits_give_finite_scores():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(1, attention.LEAVES, n).astype(np.int16) for n in (1, 7, 40, 300)]
+    p = attention.initial(np.ones(attention.LEAVES))
+    p = {k: v * np.float32(30) for k, v in p.items()}
+    got = attention.scores(p, texts)
+    assert np.isfinite(got).all() and (got < 0).all()
+    x = rng.standard_normal((5, attention.FAN)).astype(np.float32) * 40
+    exact = np.log(np.exp(x.astype(float)).sum(1))
+    assert np.allclose(attention._log_total(x), exact, rtol=1e-5) and np.allclose(attention._log_total(x * 3), np.log(np.exp(3 * x.astype(float)).sum(1)), rtol=1e-5)
