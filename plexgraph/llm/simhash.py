@@ -42,17 +42,22 @@ def _cells(distance: int) -> list[int]:
     return [sum(c) for c in combinations(masks, len(_BANDS) - distance)]
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """The unsigned 64-bit fingerprint of a text: majority bits of XXH64 over its word shingles, repeats included."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of each word shingle of a text, repeats included; fewer than ``width`` words are one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
     if len(words) < width:
-        shingles = [b" ".join(words)]
+        shingles = [b" ".join(words)] if words else []
     else:
         shingles = list(map(b" ".join, zip(*(words[i:] for i in range(width)))))
-    ones, n = np.zeros(64, dtype=np.int64), len(shingles)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype=np.uint64, count=n)
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype=np.uint64, count=len(shingles))
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """The unsigned 64-bit fingerprint of a text: majority bits of XXH64 over its word shingles, repeats included."""
+    hashes = shingle_hashes(text, width)
+    ones, n = np.zeros(64, dtype=np.int64), len(hashes)
+    if not n:
+        return 0
     for a in range(0, n, 4096):
         bits = np.unpackbits(hashes[a : a + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
@@ -157,7 +162,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
 
     Rows without a doc_id stay. If a doc_id occurs more than once among the rows that stay, one of these rows stays.
     """
-    found = settled(near_duplicates(docs, id_col, text_col, distance).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
+    return keep_first(docs, near_duplicates(docs, id_col, text_col, distance), id_col)
+
+
+def keep_first(docs: DataFrame, grouped: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` whose doc_id names its component in ``grouped`` (doc_id, component_id), once each, and those without a doc_id."""
+    found = settled(grouped.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
     keep = found.select(F.col("doc_id").alias("__keep"))
     # Ids are near unique, so rows spread evenly whatever groups there are; one plan for all sizes, as those kept are most.
     kept = docs.join(keep.hint("merge"), docs[id_col].cast("long") == F.col("__keep"), "left_semi")

@@ -4,7 +4,8 @@ from collections import Counter, defaultdict
 import pytest
 import xxhash
 
-from plexgraph.llm import chunks, decontam, simhash
+import corpus_pipeline
+from plexgraph.llm import chunks, decontam, simhash, similar
 from plexgraph.llm.queries import op7_substring_dedup, op8_decontamination, op9_simhash
 
 
@@ -72,6 +73,51 @@ def test_simhash_of_odd_rows(odd, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+def test_near_copies_of_the_stage_by_brute_force(spark, sf, documents):
+    rng, rows = random.Random(3), []
+    for k in range(12):  # near copies in more than 3 bits, pairs below the bound, short texts
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([6, 40, 100, 400]))]
+        for j in range(4):
+            other = list(words)
+            for _ in range(j * len(words) // 60):
+                other[rng.randrange(len(other))] = f"x{rng.randrange(5000)}"
+            rows.append((1_000_000 + 10 * k + j, " ".join(other)))
+    docs = documents.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    texts = [(r["doc_id"], r["text"].encode().lower().split()) for r in docs.collect()]
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()) for d, w in texts}
+    ids, parent = sorted(sets), {d: d for d in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    far = 0
+    fps = {d: simhash.fingerprint(r) for d, r in ((d, b" ".join(w).decode()) for d, w in texts)}
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            x, y = sets[a], sets[b]
+            n = len(x & y)
+            if x == y or (n and 5 * n >= 4 * (len(x) + len(y) - n)):
+                far += (fps[a] ^ fps[b]).bit_count() > 3
+                p, q = sorted((find(a), find(b)))
+                parent[q] = p
+    assert far > 3
+    want = {d for d in ids if find(d) == d}
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()} == want
+
+
+def test_a_large_group_of_near_copies_and_odd_rows(spark, odd, none):
+    base = [f"w{i}" for i in range(200)]
+    rows = [(k, " ".join([*base[:100], f"x{k}", *base[101:]])) for k in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["doc_id"] for r in similar.keep_one(d).collect()] == [0]
+    kept = similar.keep_one(odd)
+    assert kept.columns == odd.columns
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([1, 2, 5, 6, 7, 8, None], key=str)
+    assert similar.groups(none).count() == 0 and similar.keep_one(none).count() == 0
+
+
 def brute_hits(text, items, size=10):
     words = decontam.words_of(text)
     hit, found = set(), set()
