@@ -106,8 +106,9 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row (doc_id, n_words, spans) for each document that shares a run of ``min_words`` words with another one.
 
-    ``spans`` are structs (start, stop, words, later): places in bytes of the UTF-8 text; ``later`` says that a smaller
-    doc_id has all chunks of the run, so that the run can go. What repeats within one document only is no repeat. Null
+    ``spans`` are structs (start, stop, words, later): places in bytes of the UTF-8 text; ``later`` says that smaller
+    doc_ids have all chunks of the span, so that it can go. The length of a whole run is tested; its spans end where
+    ``later`` changes. What repeats within one document only is no repeat. Null
     and empty texts and null ids have no chunks. Rows with one doc_id are one document; if they are equal, their chunks
     coincide. Empty tables give empty results; other columns are not read.
 
@@ -119,9 +120,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     found = all_chunks.join(several, ["d0", "d1"]).select("doc_id", "start", "stop", "words", (F.col("doc_id") > F.col("lo")).alias("later")).distinct()
     w = Window.partitionBy("doc_id").orderBy("start", "stop")
     new = F.coalesce(F.lag("stop").over(w) != F.col("start"), F.lit(True))
-    numbered = found.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(w))
-    runs = numbered.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("words"), F.min("later").alias("later"))
-    spans = F.sort_array(F.collect_list(F.struct("start", "stop", "words", "later"))).alias("spans")
+    other = new | (F.lag("later").over(w) != F.col("later"))
+    numbered = found.withColumn("new", new.cast("int")).withColumn("other", other.cast("int"))
+    numbered = numbered.withColumn("run", F.sum("new").over(w)).withColumn("part", F.sum("other").over(w))
+    parts = numbered.groupBy("doc_id", "run", "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("words"), F.first("later").alias("later"))
+    runs = parts.groupBy("doc_id", "run").agg(F.sum("words").alias("words"), F.collect_list(F.struct("start", "stop", "words", "later")).alias("parts"))
+    spans = F.sort_array(F.flatten(F.collect_list("parts"))).alias("spans")
     return runs.where(F.col("words") >= min_words).groupBy("doc_id").agg(F.sum("words").alias("n_words"), spans)
 
 
@@ -142,7 +146,7 @@ def _without(batches: Iterable[pa.RecordBatch], text_col: str) -> Iterator[pa.Re
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with repeated runs cut out of the texts of all but the smallest doc_id that has them."""
+    """``docs`` with the chunks of repeated runs cut out of the texts of all but the smallest doc_id that has them."""
     later = F.filter("spans", lambda s: s["later"])
     spans = settled(repeats(docs, id_col, text_col, min_words).select(F.col("doc_id").alias("__id"), later.alias("__spans")).where(F.size("__spans") > 0))
     both = docs.join(spans, docs[id_col].cast("long") == spans["__id"], "left").drop("__id")

@@ -225,3 +225,14 @@ def test_repeats_of_odd_rows(spark, odd, none):
     assert {r["doc_id"] for r in chunks.repeats(d).collect()} == {1, 2}
     out = {r["doc_id"]: r["text"] for r in chunks.deduplicated(d).collect()}
     assert out[1] == rows[0][1] and out[3] == rows[2][1] and out[4] is None and len(out[2]) < 200 and out[2].endswith("and a second one")
+
+
+def test_what_an_earlier_document_has_goes_beside_what_only_a_later_one_has(spark):
+    one, two = (" ".join(f"{c}{i * 7919 % 1000}" for i in range(80)) for c in ("early", "late"))
+    rows = [(1, f"first text here. {one}"), (2, f"{one} {two}"), (3, f"{one} {two}")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in chunks.repeats(d).collect()}
+    assert [s["later"] for s in spans[2]] in ([True, False], [False, True, False]) and all(s["later"] for s in spans[3])
+    assert spans[2][-2]["stop"] == spans[2][-1]["start"]
+    out = {r["doc_id"]: r["text"] for r in chunks.deduplicated(d).collect()}
+    assert out[1] == rows[0][1] and len(out[2]) < len(two) + 150 and out[2].endswith(two[-600:]) and len(out[3]) < 150
