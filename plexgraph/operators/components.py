@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import partial
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -73,15 +74,16 @@ def _in_one_task(batches: Iterable[pd.DataFrame], min_size: int) -> Iterator[pd.
     yield pd.DataFrame(rows, columns=["node", "component"])
 
 
-def strong_components(edges: DataFrame, min_size: int = 2, rounds: int = 50, small: int = SMALL) -> DataFrame:
+def strong_components(edges: DataFrame, min_size: int = 2, rounds: int | None = None, small: int = SMALL) -> DataFrame:
     """(node, component): strongly connected components of at least ``min_size`` nodes, named by their smallest node.
 
     A graph of at most ``small`` edges after trimming is solved in one task. Beyond, each round drops nodes without an edge in or out, colours nodes with the smallest node that reaches them, and takes
-    those that reach their colour's root back within the colour.
+    those that reach their colour's root back within the colour. Each round takes one component at least, so rounds end
+    when no edge is left; with ``rounds`` given, edges left after so many raise.
     """
     live = settle(edges.select("src", "dst").where("src <> dst").distinct())
     out = None
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         for _ in range(3):
             live = live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
         live = settle(live)
@@ -101,7 +103,7 @@ def strong_components(edges: DataFrame, min_size: int = 2, rounds: int = 50, sma
         out = found if out is None else out.union(found)
         gone = back.select("node")
         live = settle(live.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
-    return live.select(F.col("src").alias("node"), F.col("dst").alias("component")).limit(0) if out is None else out
+    raise RuntimeError(f"strong components did not end in {rounds} rounds")
 
 
 def pagerank(edges: DataFrame, focus: DataFrame, iterations: int = 20, damping: float = 0.85) -> DataFrame:

@@ -55,6 +55,12 @@ def test_strong_components_in_one_task_and_by_rounds(spark, small):
     assert pairs(components.strong_components(e, small=small)) == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "d")}
 
 
+def test_no_strong_component_is_lost_where_rounds_end(spark):
+    e = df(spark, EDGES, "src string, dst string")
+    with pytest.raises(RuntimeError, match="1 rounds"):
+        components.strong_components(e, rounds=1, small=0)
+
+
 def test_traversal_and_shortest_path(spark):
     e = df(spark, EDGES, "src string, dst string").withColumn("confidence", F.lit(0.9))
     r = traverse.reach(e, df(spark, [("a",), ("d",)], "root string"), 2)
