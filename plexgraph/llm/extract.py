@@ -1,18 +1,26 @@
 """Main text of web pages by tag-path ratios.
 
-A page is cut into blocks at block-level tags. Each block has a path of block-level tags from the root. Per path, text
-length and punctuation are summed and divided by the number of blocks (two ratios), smoothed over the blocks in page
-order, and fused by their product; a path is content if its fused value reaches the spread of all of them. Blocks in
-elements that are furniture by tag, role or class never count. What stands beside the chosen blocks in the same article
-is kept, links apart.
+A page is cut into blocks at block-level tags, and a block into pieces of text. The path of a piece names all open elements
+from the root to it, by tag and classes. Per path, characters outside links and punctuation marks are summed and divided
+by the number of pieces (two ratios). Both are smoothed over the pieces in page order, multiplied, and weighed by a prior
+(below); the mean of that is the value of the path. A block is chosen if the values of its pieces' paths, weighed by length,
+reach the spread (standard deviation) of all pieces of the page. This is so on every page, whatever its elements are called.
+
+Chosen blocks span regions: the elements, again by path, that hold them as paragraphs, items or cells; inside an article
+or main element, that element. What else stands in a region belongs to the article too, such as its headings and short
+lines, unless it is furniture or mostly links; so do headings right before a region.
+
+Prior knowledge, all of it: text in ``nav``, ``footer``, ``form`` and the like, by tag, role or being hidden, is never read.
+A class or id with a word of ``_WORDS`` multiplies the prior by ``_SUSPECT``, an article or main element by ``_ARTICLE``. As
+only differences within a page count, a suspect word on an element around everything changes nothing.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections import Counter, defaultdict
+from collections.abc import Container, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -58,61 +66,117 @@ _CLOSES = {
 _PUNCTUATION = re.compile(r"[.,;:!?…、。，！？；：]")
 
 
+#: Factors of the prior: for each element with a suspect class or id around a text, and for an article or main element.
+_SUSPECT, _ARTICLE = 1e-3, 8.0
+#: Elements that are parts of what holds them: paragraphs, items, cells. A region is the element around them.
+_PARTS = frozenset("p pre h1 h2 h3 h4 h5 h6 blockquote ul ol li dl dt dd table caption thead tbody tfoot tr td th figure figcaption".split())
+_KERNEL = np.array([1.0, 2.0, 4.0, 2.0, 1.0])
+
+
+class Paths:
+    """Numbers of root-to-leaf paths; a path is its parent's number and a label, and comes after its parent. 0 is the root."""
+
+    def __init__(self) -> None:
+        self.parent, self.tag, self._known = [0], [""], {}
+
+    def below(self, parent: int, tag: str, label: str) -> int:
+        at = self._known.setdefault((parent, label), len(self.parent))
+        if at == len(self.parent):
+            self.parent.append(parent)
+            self.tag.append(tag)
+        return at
+
+
+@dataclass
+class Open:
+    """An open block-level element."""
+
+    tag: str
+    path: int
+    suspects: int  # elements with a suspect word, itself included
+    off: bool  # whether it is in furniture
+    article: int  # path of the innermost article, else main, element; 0 if there is none
+
+
 @dataclass
 class Block:
     text: str
-    path: str
+    pieces: list[tuple[int, int, int]]  # path, characters outside links, punctuation marks
+    path: int  # of the element around it
     tag: str
-    regions: tuple[int, ...]  # numbers of the open article and main elements
-    parent: int  # number of the element around the block's own
+    suspects: int
+    article: int
     linked: int  # characters inside links
 
+    @property
+    def prior(self) -> float:
+        return _SUSPECT**self.suspects * (_ARTICLE if self.article else 1.0)
+
 
-def _furniture(tag: str, attrs: str, in_article: bool) -> bool:
+def _label(tag: str, attrs: str) -> str:
+    """A tag with its classes, without digits, as paragraphs may be numbered by class."""
+    if "class" not in attrs.lower():
+        return tag
+    found = next(((a or b or c) for name, a, b, c in _ATTR.findall(attrs) if name.lower() == "class"), "")
+    return ".".join([tag, *sorted(re.sub(r"[0-9/]+", "", found.lower()).split())])
+
+
+def _judged(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is furniture, and whether its class or id is suspect."""
     if tag in _FURNITURE or tag == "header" and not in_article:
-        return True
+        return True, False
+    suspect = False
     if not attrs or tag in ("html", "body", "main"):
-        return False
+        return False, False
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return True, False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return True, False
         if name == "role" and value in _ROLES:
-            return True
+            return True, False
         if name in ("class", "id") and not _WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
+            suspect = True
+    return False, suspect
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's text blocks in order, without furniture."""
-    out: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, number, whether inside furniture
+def blocks(page: str) -> tuple[list[Block], Paths]:
+    """The page's text blocks in order, without furniture, and the paths they name."""
+    out, paths = [], Paths()
+    stack: list[Open] = [Open("", 0, 0, False, 0)]
+    inline: list[str] = []
     parts: list[str] = []
-    linked, in_link, number, at = 0, False, 0, 0
+    pieces: list[tuple[int, int, int]] = []
+    linked, in_link, at = 0, False, 0
 
     def flush() -> None:
-        nonlocal linked, parts
+        nonlocal linked
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
-            if text and not (stack and stack[-1][2]):
-                tags = [t for t, _, _ in stack]
-                regions = tuple(n for t, n, _ in stack if t in ("article", "main"))
-                out.append(Block(text, "/".join(tags), tags[-1] if tags else "", regions, stack[-2][1] if len(stack) > 1 else 0, min(linked, len(text))))
-            parts = []
+            top, text = stack[-1], " ".join("".join(parts).split())
+            if text and not top.off:
+                out.append(Block(text, pieces.copy(), top.path, top.tag, top.suspects, top.article, min(linked, len(text))))
+            parts.clear()
+            pieces.clear()
+        inline.clear()
         linked = 0
 
     def add(piece: str) -> None:
         nonlocal linked
-        if piece:
-            parts.append(piece)
+        if not piece:
+            return
+        piece = html.unescape(piece)
+        parts.append(piece)
+        bare = piece.strip()
+        if bare and not stack[-1].off:
+            path = stack[-1].path
+            for t in inline:
+                path = paths.below(path, t, t)
             if in_link:
-                linked += len(piece.strip())
-
-    def pop_to(k: int) -> None:
-        del stack[k:]
+                linked += len(bare)
+                pieces.append((path, 0, 0))
+            else:
+                pieces.append((path, len(bare), len(_PUNCTUATION.findall(bare))))
 
     while (m := _TOKEN.search(page, at)) is not None:
         add(page[at : m.start()])
@@ -129,103 +193,133 @@ def blocks(page: str) -> list[Block]:
                 at = close.end() if close else len(page) if raw.lower() in _TO_THE_END else at
             parts.append(" ")
             continue
-        tag = (m["tag"] or "").lower()
+        tag, attrs = (m["tag"] or "").lower(), m["attrs"] or ""
         if not tag:
             continue
-        if tag == "a":
-            in_link = not m["end"]
-            continue
         if tag == "br":
             parts.append(" ")
             continue
         if tag not in _BLOCK:
-            attrs = m["attrs"]
-            if not m["end"] and tag not in _VOID and attrs and not attrs.rstrip().endswith("/") and _furniture(tag, attrs, True):
+            if tag == "a":
+                in_link = not m["end"]
+            if tag in _VOID or attrs.rstrip().endswith("/"):
+                continue
+            if m["end"]:
+                if tag in inline:
+                    del inline[len(inline) - 1 - inline[::-1].index(tag) :]
+                continue
+            if attrs and tag != "a" and any(_judged(tag, attrs, True)):
                 # Inline furniture, such as a hidden span: skip to its end if that comes before the next block ends.
                 close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 if close and not re.search(r"</(?:p|div|article|section|body|li|td)\b", page[at : close.start()], re.I):
                     at = close.end()
+                    continue
+            inline.append(tag)
             continue
         flush()
         if tag in _VOID:
             continue
         if m["end"]:
             in_link = False
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
+            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), None)
+            if k is not None:
+                del stack[k:]
             continue
-        if stack and stack[-1][0] == "p":
-            pop_to(len(stack) - 1)
+        if stack[-1].tag == "p":
+            stack.pop()
         elif tag in _CLOSES:
             ends, until = _CLOSES[tag]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in until:
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag in until:
                     break
-                if stack[k][0] in ends:
-                    pop_to(k)
+                if stack[k].tag in ends:
+                    del stack[k:]
                     break
-        number += 1
-        off = bool(stack and stack[-1][2]) or _furniture(tag, m["attrs"] or "", any(t in ("article", "main") for t, _, _ in stack))
-        stack.append((tag, number, off))
+        top = stack[-1]
+        off, suspect = _judged(tag, attrs, bool(top.article))
+        path = paths.below(top.path, tag, _label(tag, attrs))
+        article = path if tag == "article" or tag == "main" and paths.tag[top.article] != "article" else top.article
+        stack.append(Open(tag, path, top.suspects + suspect, top.off or off, article))
     add(page[at:])
     flush()
-    return out
+    return out, paths
 
 
 def _smoothed(x: np.ndarray) -> np.ndarray:
-    kernel = np.array([1.0, 2.0, 4.0, 2.0, 1.0])
-    return np.convolve(x, kernel / kernel.sum(), mode="same") if len(x) >= len(kernel) else x
+    """Weighted means with two neighbours on each side, as far as there are any."""
+    lead = len(_KERNEL) // 2
+    return np.convolve(x, _KERNEL)[lead : lead + len(x)] / np.convolve(np.ones(len(x)), _KERNEL)[lead : lead + len(x)]
 
 
-def content_paths(found: list[Block]) -> set[str]:
-    """Paths whose smoothed, fused ratios of text and punctuation reach the spread over the page."""
-    length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for b in found:
-        length[b.path] += len(b.text) - b.linked
-        marks[b.path] += len(_PUNCTUATION.findall(b.text))
-        count[b.path] += 1
-    text = _smoothed(np.array([length[b.path] / count[b.path] for b in found]))
-    punct = _smoothed(np.array([(marks[b.path] + 0.1) / count[b.path] for b in found]))
-    fused = text * punct
+def fused(text: np.ndarray, punctuation: np.ndarray) -> np.ndarray:
+    """One value for each piece, from the two ratios of its path, in page order."""
+    return _smoothed(text) * _smoothed(punctuation)
+
+
+def path_values(found: list[Block]) -> tuple[dict[int, float], float]:
+    """Value of each path, and the bound that content reaches."""
+    pieces = [(path, chars, marks, b.prior) for b in found for path, chars, marks in b.pieces]
+    if not pieces:
+        return {}, 0.0
+    length, marked, count = defaultdict(int), defaultdict(int), defaultdict(int)
+    for path, chars, marks, _ in pieces:
+        length[path] += chars
+        marked[path] += marks
+        count[path] += 1
+    text = np.array([length[p] / count[p] for p, *_ in pieces])
+    punctuation = np.array([(marked[p] + 0.1) / count[p] for p, *_ in pieces])
+    values = fused(text, punctuation) * np.array([w for *_, w in pieces])
     total = defaultdict(float)
-    for b, f in zip(found, fused):
-        total[b.path] += f
+    for (path, *_), v in zip(pieces, values):
+        total[path] += v
     means = {p: total[p] / count[p] for p in total}
-    bound = min(float(np.std(fused)), max(means.values()))
-    return {p for p, v in means.items() if v >= bound and length[p] > 0}
+    return means, min(float(np.std(values)), max(means.values()))
+
+
+def chosen(found: list[Block]) -> list[bool]:
+    """For each block, whether the paths of its pieces are content."""
+    means, bound = path_values(found)
+    out = []
+    for b in found:
+        weight = sum(chars for _, chars, _ in b.pieces)
+        out.append(weight > 0 and sum(means[p] * chars for p, chars, _ in b.pieces) / weight >= bound * (1 - 1e-9))
+    return out
+
+
+def _region(b: Block, paths: Paths, several: Container[int]) -> int:
+    """Path of the element that holds a chosen block as one of its parts; ``several`` are paths with more than one block."""
+    if b.article:
+        return b.article
+    path = paths.parent[b.path] if b.path in several else b.path
+    while path and paths.tag[path] in _PARTS:
+        path = paths.parent[path]
+    return path
+
+
+def article(found: list[Block], paths: Paths) -> list[Block]:
+    """The blocks of the article, in page order."""
+    content = chosen(found)
+    several = {p for p, n in Counter(b.path for b in found).items() if n > 1}
+    regions: dict[int, int] = {}  # path -> suspect elements around its chosen blocks
+    for b, c in zip(found, content):
+        if c:
+            r = _region(b, paths, several)
+            regions[r] = min(regions.get(r, b.suspects), b.suspects)
+    least: list[int] = []  # by path: fewest suspect elements of the regions it stands in, -1 outside
+    for at, parent in enumerate(paths.parent):
+        above, own = least[parent] if at else -1, regions.get(at, -1)
+        least.append(min(above, own) if min(above, own) >= 0 else max(above, own))
+    keep = [c or b.suspects <= least[b.path] and 2 * b.linked < len(b.text) for b, c in zip(found, content)]
+    for k in range(len(found) - 1, 0, -1):
+        before = found[k - 1]
+        if keep[k] and before.tag in _HEADINGS and before.suspects <= found[k].suspects and 2 * before.linked < len(before.text):
+            keep[k - 1] = True
+    return [b for b, k in zip(found, keep) if k]
 
 
 def main_text(page: str | None) -> str:
     """The article's blocks, one to a line; empty for a null, empty or textless page."""
-    found = blocks(page or "")
-    if not found:
-        return ""
-    regions = defaultdict(int)
-    for b in found:
-        for r in b.regions:
-            regions[r] += len(b.text) - b.linked
-    if regions:
-        # The innermost article or main element that holds most of what such elements hold.
-        most = max(regions.values())
-        best = max(r for r, n in regions.items() if n >= 0.6 * most)
-        inside = [b for b in found if best in b.regions]
-        paths = content_paths(inside)
-        chosen = [b for b in inside if b.path in paths or b.linked < 0.5 * len(b.text)]
-        return "\n".join(b.text for b in chosen)
-    paths = content_paths(found)
-    content = [k for k, b in enumerate(found) if b.path in paths]
-    if not content:
-        return ""
-    parents = {found[k].parent for k in content}
-    keep = set(content)
-    for k in range(max(0, content[0] - 3), content[-1] + 1):
-        b = found[k]
-        beside = b.parent in parents and b.linked < 0.5 * len(b.text)
-        if beside and (k > content[0] or b.tag in _HEADINGS):
-            keep.add(k)
-    return "\n".join(found[k].text for k in sorted(keep))
+    return "\n".join(b.text for b in article(*blocks(page or "")))
 
 
 def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,8 +331,8 @@ def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row (page_id, url, text, n_chars) for each row of ``pages``.
 
-    A null or empty page has an empty text. White space in a block becomes one space, character references are decoded,
-    blocks are joined by a line feed. Repeated rows give repeated rows, an empty table an empty result; other columns
+    A null or empty page has an empty text. White space in a block, no-break spaces among it, becomes one space, character
+    references are decoded, blocks are joined by a line feed. Repeated rows give repeated rows, an empty table an empty result; other columns
     are not read.
     """
     bounded_batches(pages.sparkSession)

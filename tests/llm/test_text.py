@@ -1,4 +1,6 @@
 import math
+import random
+import re
 import zlib
 from collections import Counter
 
@@ -79,7 +81,8 @@ def test_pages_of_odd_shape(spark):
     assert extract.main_text(None) == extract.main_text("") == extract.main_text("<nav>x</nav>") == ""
     assert extract.main_text("just text & more") == "just text & more"
     assert extract.main_text("<article><p>cut &am") == "cut &am" and extract.main_text("<article><p>cut</p><p cla") == "cut"
-    assert extract.main_text("<p>a <svg>b</p><p>c") == "a b\nc" or "a" in extract.main_text("<p>a <svg>b</p><p>c")
+    assert extract.main_text("<p>a, <svg>b</p><p>c.") == "a, b\nc."
+    assert extract.main_text("<div>" * 20_000 + "Deep, but here.") == "Deep, but here."
     assert len(extract.main_text("<article>" + "<p>word word.</p>" * 20_000)) == 20_000 * 11 - 1
     assert extract.main_text("<a href='x" * 2000) == ""
     d = spark.createDataFrame([(1, "u", "<p>a b.</p>", "t"), (1, "u", "<p>a b.</p>", "t"), (2, None, None, "t")], "page_id long, url string, html string, text string")
@@ -87,6 +90,112 @@ def test_pages_of_odd_shape(spark):
     assert extract.extract(d.limit(0)).count() == 0
 
 
+def random_page(rng):
+    """A well-formed page: an article of some shape among furniture that no word or tag gives away."""
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 9)))
+    sentence = lambda n: " ".join(word() + rng.choice(["", "", "", ",", "."]) for _ in range(n)) + "."
+    para = lambda: f"<p>{sentence(rng.randint(4, 60))} <b>{sentence(rng.randint(1, 4))}</b> {sentence(rng.randint(1, 20))}</p>"
+    links = lambda: "<ul>" + "".join(f'<li><a href="/{i}">{word()}</a></li>' for i in range(rng.randint(2, 7))) + "</ul>"
+    body = "".join(rng.choice([para, para, para, lambda: f"<h2>{word()}</h2>", lambda: f"<ul><li>{sentence(5)}</li><li>{word()}</li></ul>", lambda: f'<div class="ad">{sentence(6)}</div>']) () for _ in range(rng.randint(3, 12)))
+    body = rng.choice(["<article>%s</article>", "<main><h1>top</h1><div>%s</div></main>", '<div class="text9">%s</div>', "<div><div>%s</div></div>", '<div class="page sidebar">%s</div>'])  % body
+    box = lambda: rng.choice([f'<div class="x1">{sentence(rng.randint(1, 8))}</div>', f"<div>{links()}</div>", f"<nav>{links()}</nav>", f'<div id="comments">{para()}{para()}</div>', f"<h3>{word()}</h3>", f"<article>{sentence(4)}</article>"])
+    return "<html><body>" + "".join(box() for _ in range(rng.randint(0, 4))) + body + "".join(box() for _ in range(rng.randint(0, 4))) + "</body></html>"
+
+
+def brute_main_text(page):
+    """Tag-path ratios by plain loops over the parse of the standard library, for well-formed pages."""
+    from html.parser import HTMLParser
+
+    nodes, number = [], [0]
+
+    class Reader(HTMLParser):
+        open = []
+
+        def handle_starttag(self, tag, attrs):
+            number[0] += 1
+            d = dict(attrs)
+            words = set(re.split("[^a-z0-9]+", f"{d.get('class', '')} {d.get('id', '')}"))
+            label = ".".join([tag, *sorted(re.sub("[0-9]", "", d.get("class", "")).split())])
+            self.open = [*self.open, (number[0], tag, label, bool(words & extract._WORDS))]
+
+        def handle_endtag(self, tag):
+            self.open = self.open[:-1]
+            number[0] += 1
+
+        def handle_data(self, text):
+            if text.strip() and not any(t == "nav" for _, t, _, _ in self.open):
+                blocks_open = [x for x in self.open if x[1] not in ("a", "b")]
+                nodes.append((number[0], blocks_open, [x[2] for x in self.open if x[1] != "a"], text, any(t == "a" for _, t, _, _ in self.open)))
+
+    Reader.open = []
+    Reader().feed(page)
+    leaf = lambda n: n[1][-1][0]
+    groups = []  # blocks: text nodes in a row in one block-level element, which is left only by other blocks
+    for n in nodes:
+        if groups and leaf(groups[-1][-1]) == leaf(n):
+            groups[-1].append(n)
+        else:
+            groups.append([n])
+    path = lambda n: "/" + "/".join(n[2])
+    block_path = lambda g: "/" + "/".join(x[2] for x in g[0][1])
+    marks = lambda t: sum(c in ".,;:!?" for c in t)
+    mean = lambda f: {p: sum(f(n) for n in nodes if path(n) == p) / sum(path(n) == p for n in nodes) for p in map(path, nodes)}
+    text, punct = mean(lambda n: 0 if n[4] else len(n[3].strip())), mean(lambda n: 0 if n[4] else marks(n[3]))
+    tenth = {p: 0.1 / sum(path(n) == p for n in nodes) for p in text}
+    suspects = lambda g: sum(x[3] for x in g[0][1])
+    inside = lambda g: any(x[1] in ("article", "main") for x in g[0][1])
+    prior = {id(n): 0.001 ** suspects(g) * (8 if inside(g) else 1) for g in groups for n in g}
+    smooth = lambda v, i: sum(w * v[i + k - 2] for k, w in enumerate((1, 2, 4, 2, 1)) if 0 <= i + k - 2 < len(v)) / sum(w for k, w in enumerate((1, 2, 4, 2, 1)) if 0 <= i + k - 2 < len(v))
+    t, q = [text[path(n)] for n in nodes], [punct[path(n)] + tenth[path(n)] for n in nodes]
+    value = [smooth(t, i) * smooth(q, i) * prior[id(n)] for i, n in enumerate(nodes)]
+    of = {p: [v for n, v in zip(nodes, value) if path(n) == p] for p in text}
+    of = {p: sum(v) / len(v) for p, v in of.items()}
+    m = sum(value) / len(value)
+    bound = min(math.sqrt(sum((v - m) ** 2 for v in value) / len(value)), max(of.values()))
+    size = lambda n: 0 if n[4] else len(n[3].strip())
+    content = [sum(map(size, g)) > 0 and sum(of[path(n)] * size(n) for n in g) / sum(map(size, g)) >= bound * (1 - 1e-9) for g in groups]
+    times, regions = Counter(map(block_path, groups)), {}
+    for g, c in zip(groups, content):
+        if c:
+            stack = list(g[0][1])
+            named = [k for k, x in enumerate(stack) if x[1] == "article"] or [k for k, x in enumerate(stack) if x[1] == "main"]
+            if named:
+                stack = stack[: named[-1] + 1]
+            else:
+                stack = stack[:-1] if times[block_path(g)] > 1 else stack
+                while stack and stack[-1][1] in ("p", "ul", "li", "h1", "h2", "h3"):
+                    stack = stack[:-1]
+            r = tuple(x[2] for x in stack)
+            regions[r] = min(regions.get(r, 99), suspects(g))
+    keep = []
+    for g, c in zip(groups, content):
+        labels = tuple(x[2] for x in g[0][1])
+        around = [n for r, n in regions.items() if labels[: len(r)] == r]
+        links = sum(len(n[3].strip()) for n in g if n[4])
+        keep.append(c or bool(around) and suspects(g) <= min(around) and 2 * links < len(" ".join("".join(n[3] for n in g).split())))
+    for k in reversed(range(len(groups) - 1)):
+        h = groups[k]
+        if keep[k + 1] and h[0][1][-1][1] in ("h1", "h2", "h3") and suspects(h) <= suspects(groups[k + 1]) and not h[0][4]:
+            keep[k] = True
+    return "\n".join(" ".join("".join(n[3] for n in g).split()) for g, k in zip(groups, keep) if k)
+
+
+def test_main_text_by_brute_force():
+    rng = random.Random(5)
+    for _ in range(300):
+        page = random_page(rng)
+        assert extract.main_text(page) == brute_main_text(page), page
+
+
+def test_the_ratios_decide(monkeypatch):
+    article = "".join(f"<p>{'Some words, and others, stand here. ' * 6}</p>" for _ in range(5))
+    two = f"<html><body><article class=a>{article}</article><article class=b><p>A teaser</p></article></body></html>"
+    plain = f"<html><body><div>{article}</div><section><p>Terms of use</p></section></body></html>"
+    assert "teaser" not in extract.main_text(two) and "Terms" not in extract.main_text(plain) and extract.main_text(two) == extract.main_text(plain)
+    monkeypatch.setattr(extract, "fused", lambda text, punctuation: np.ones(len(text)))
+    assert "teaser" in extract.main_text(two) and "Terms" in extract.main_text(plain)
+
+
 def test_rules_of_urls(spark):
     urls = [
         ("http://a.NET/x", "a.net", "/x", "net/", "block"), ("https://www.example.net/en/1?q", "www.example.net", "/en/1", "example.net/en/", "allow"), ("http://example.com/de/1#x", "example.com", "/de/1", "example.com/de/", "block"),
