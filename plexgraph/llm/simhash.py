@@ -1,19 +1,20 @@
-"""SimHash near-duplicates by segment popcounts and a grid join under Manhattan distance.
+"""SimHash near-duplicates by segment popcounts and a grid range-join under Manhattan distance.
 
-A fingerprint's 64 bits are seen as 32 segments of two bits, and each segment by its number of set bits (0, 1 or 2).
-The Manhattan distance of two such vectors never exceeds the Hamming distance of the fingerprints, so it filters. The
-segments form six bands. Vectors within distance 3 differ in at most three bands, so they agree in at least three; a
-grid cell is a choice of three bands (20 of them) and their counts, and fingerprints of a cell are compared by Manhattan
-distance and then exactly. A pair is made only in the first cell that both share.
+A fingerprint's 64 bits are seen as 32 segments of two bits, and each segment by its number of set bits (0, 1 or 2). The
+Manhattan distance of two such vectors never exceeds the Hamming distance of the fingerprints, so it filters. Two grids have
+the vector's first and last 16 counts as their cells. Of two vectors within distance 3, one half is within distance 1: on
+that grid they lie in one cell or in neighbouring ones. So each vector visits, besides its own cell, those with one count
+higher by 1, and meets who lives there; pairs are compared by Manhattan distance and then exactly.
 
-Work is on distinct fingerprints: a group of equal texts costs one row, whatever its size.
+Work is on distinct fingerprints: a group of equal texts costs one row, whatever its size. Families of near fingerprints
+are found without all their pairs (``families``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import partial
-from itertools import combinations, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,27 +22,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plexgraph.llm.common import bounded_batches, forget, settled
+from plexgraph.llm.common import bounded_batches, free_name, row_hash, settled, spread_join
+from plexgraph.llm.families import families, id_of, node_key
 
 SEED = 42
 _EVEN = 0x5555555555555555
-#: Segments in each band.
-_BANDS = (5, 5, 5, 5, 6, 6)
+#: The grids: a mask over the packed counts, and a segment outside of it.
+_GRIDS = ((0xFFFFFFFF, 16), (0xFFFFFFFF << 32, 0))
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _cells(distance: int) -> list[int]:
-    """Masks over the packed counts: one for each set of bands that must agree in some cell."""
-    masks, at = [], 0
-    for n in _BANDS:
-        masks.append(((1 << 2 * n) - 1) << 2 * at)
-        at += n
-    return [sum(c) for c in combinations(masks, len(_BANDS) - distance)]
-
-
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     """XXH64 of each word shingle of a text, repeats included; fewer than ``width`` words are one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -66,15 +59,17 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 def _fingerprints(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fps = [_signed(fingerprint(t, width)) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+        fps = [_signed(fingerprint(t, width)) for t in b.column(0).to_pylist()]
+        names = b.schema.names[1:]
+        yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(fps, pa.int64())], names=[*names, "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, fp) for every row. A null or empty text has fingerprint 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, row_col: str | None = None) -> DataFrame:
+    """(doc_id, fp) for every row, with ``row_col`` (doc_id, row, fp). A null or empty text has fingerprint 0."""
     bounded_batches(docs.sparkSession)
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(partial(_fingerprints, width=width), "doc_id long, fp long")
+    row = [F.col(row_col).alias("row")] if row_col else []
+    slim = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id"), *row)
+    return slim.mapInArrow(partial(_fingerprints, width=width), "doc_id long, row long, fp long" if row else "doc_id long, fp long")
 
 
 def _counts(fp: Column) -> Column:
@@ -89,68 +84,71 @@ def _manhattan(x: Column) -> Column:
     return 2 * F.bit_count(high) + F.bit_count(low) - 2 * F.bit_count(high.bitwiseAND(low))
 
 
+def _visits(v: Column, mask: int, mark: int, radius: int) -> Column:
+    """(bucket, home) structs of a vector on one grid: its own cell, and for radius 1 those with one count higher by 1.
+
+    No count is 3, so ``mark``, a 3 outside the grid's segments, tells the grids apart.
+    """
+    own = v.bitwiseAND(F.lit(_signed(mask))).bitwiseOR(F.lit(_signed(mark)))
+    out = [F.struct(own.alias("bucket"), F.lit(True).alias("home"))]
+    for k in range(32 if radius else 0):
+        if mask >> 2 * k & 3:
+            room = v.bitwiseAND(F.lit(_signed(2 << 2 * k))) == 0
+            low = F.lit(_signed(1 << 2 * k))
+            higher = own.bitwiseXOR(low).bitwiseXOR(F.shiftleft(v.bitwiseAND(low), 1))  # 0 becomes 1, and 1 becomes 2
+            out.append(F.when(room, F.struct(higher.alias("bucket"), F.lit(False).alias("home"))))
+    return F.filter(F.array(*out), lambda x: x.isNotNull())
+
+
+def _grid(distinct: DataFrame, distance: int) -> DataFrame:
+    """``distinct`` with (grid, bucket, home): one row for each cell of both grids that a fingerprint lies in or visits."""
+    if not 1 <= distance <= 3:
+        raise ValueError("distance must be 1, 2 or 3")
+    radius, v = distance // len(_GRIDS), _counts(F.col("fp"))
+    on = lambda g: lambda x: F.struct(F.lit(g).alias("grid"), x["bucket"].alias("bucket"), x["home"].alias("home"))
+    cells = [F.transform(_visits(v, mask, 3 << 2 * mark, radius), on(g)) for g, (mask, mark) in enumerate(_GRIDS)]
+    return distinct.withColumn("cell", F.explode(F.concat(*cells))).select(*distinct.columns, "cell.*")
+
+
+def _close(a: Column, b: Column, distance: int) -> Column:
+    """The Manhattan bound first, then the exact test."""
+    return (_manhattan(_counts(a).bitwiseXOR(_counts(b))) <= distance) & (F.bit_count(a.bitwiseXOR(b)) <= distance)
+
+
 def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
-    """(a, b), a < b: all pairs of distinct fingerprints ``fp`` that differ in at most ``distance`` (1 to 3) bits."""
-    cells = [_signed(m) for m in _cells(distance)]
-    keys = F.array(*[F.col("v").bitwiseAND(F.lit(m)) for m in cells])
-    grid = distinct.select("fp", _counts(F.col("fp")).alias("v")).select("fp", "v", F.posexplode(keys).alias("cell", "key"))
-    a = grid.select("cell", "key", F.col("fp").alias("a"), F.col("v").alias("va"))
-    b = grid.select("cell", "key", F.col("fp").alias("b"), F.col("v").alias("vb"))
-    x = F.col("va").bitwiseXOR(F.col("vb"))
-    first = F.lit(len(cells))
-    for i, m in reversed(list(enumerate(cells))):
-        first = F.when(x.bitwiseAND(F.lit(m)) == 0, F.lit(i)).otherwise(first)
-    close = (_manhattan(x) <= distance) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    same = (a["cell"] == b["cell"]) & (a["key"] == b["key"])
-    return a.join(b, same & (F.col("a") < F.col("b")) & close & (first == a["cell"])).select("a", "b")
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for each end of an edge (a, b): root is the smallest node of its component.
-
-    Large-star and small-star steps alternate until no edge changes; each step needs an aggregate and an equi-join, and
-    its edges are written to the shared folder.
+    """(a, b), a < b: all pairs of distinct fingerprints ``fp`` that differ in at most ``distance`` (1 to 3) bits.
+
+    The result has every pair of a dense family; ``near_duplicates`` doesn't need them.
     """
-    now, seen = settled(edges.select("a", "b")), None
-    for _ in range(rounds):
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
-        # From here each edge points from the larger node b to the smaller node a.
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b")
-        small = small.select(F.col("m").alias("a"), F.col("a").alias("b")).union(small.select(F.col("m").alias("a"), "b"))
-        new = settled(small.where("a < b").distinct())
-        mark = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        forget(now)
-        now = new
-        if tuple(mark) == seen:
-            break
-        seen = tuple(mark)
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    roots = now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
-    return roots.union(now.select(F.col("b").alias("node"), F.col("a").alias("root")))
+    grid = _grid(distinct.select("fp"), distance)
+    a = grid.where("home").select("grid", "bucket", F.col("fp").alias("a"))
+    b = grid.select("grid", "bucket", F.col("fp").alias("b"), "home")
+    once = ~F.col("home") | (F.col("a") < F.col("b"))
+    before = _manhattan(_counts(F.col("a")).bitwiseXOR(_counts(F.col("b"))).bitwiseAND(F.lit(_signed(_GRIDS[0][0])))) > distance // len(_GRIDS)
+    pairs = a.join(b, ["grid", "bucket"]).where(once & (F.col("a") != F.col("b")) & ((F.col("grid") == 0) | before) & _close(F.col("a"), F.col("b"), distance))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _rooted(rows: DataFrame, distance: int) -> DataFrame:
+    """(doc_id, fp, .., root) of ``rows`` (doc_id, fp, ..), settled: root is the smallest node of the component."""
+    node = node_key(F.col("least"), F.col("fp").alias("fp"))
+    distinct = settled(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).select("fp", "n", node.alias("node")))
+    near = lambda pairs: pairs.where(_close(F.col("a.fp"), F.col("b.fp"), distance))
+    found = families(_grid(distinct.select("node", F.col("fp")), distance).select("node", "bucket", "home"), near)
+    named = settled(distinct.join(found.select(F.col("node.fp").alias("fp"), "root"), "fp", "left").select("fp", "n", F.coalesce("root", "node").alias("root")))
+    total = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return spread_join(rows, named, "fp", "n", total)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3) -> DataFrame:
-    """One row (doc_id, fp, component_id, n_links) for each row of ``docs``.
+    """One row (doc_id, fp, component_id) for each row of ``docs``.
 
-    component_id is the smallest doc_id of all documents that links of at most ``distance`` bits reach; n_links counts
-    the other fingerprints a fingerprint is linked with. Null, empty and blank texts share fingerprint 0. Repeated rows
-    give repeated rows. A null doc_id stays null and is no smallest one; a component without any doc_id has a null
-    component_id. An empty table gives an empty result; other columns are not read.
+    component_id is the smallest doc_id of all documents that links of at most ``distance`` bits reach. Null, empty and
+    blank texts share fingerprint 0. Repeated rows give repeated rows. A null doc_id stays null and is no smallest one; a
+    component without any doc_id has a null component_id. An empty table gives an empty result; other columns are not read.
     """
     rows = settled(fingerprints(docs, id_col, text_col))
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    edges = settled(links(distinct.select("fp"), distance))
-    comps = settled(components(edges))
-    ends = edges.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
-    linked = distinct.join(comps.join(ends, comps["node"] == ends["fp"]).select(F.col("node").alias("fp"), "root", "n_links"), "fp", "left")
-    linked = settled(linked.select("fp", "least", F.coalesce("root", "fp").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    several = linked.where("n_links > 0").groupBy("root").agg(F.min("least").alias("component"))
-    named = linked.join(several, "root", "left").select("fp", F.coalesce("component", "least").alias("component_id"), "n_links")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id", "n_links")
+    return _rooted(rows, distance).select("doc_id", "fp", id_of(F.col("root")).alias("component_id"))
 
 
 def hex_fingerprint(fp: Column) -> Column:
@@ -158,19 +156,29 @@ def hex_fingerprint(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: that of the smallest doc_id.
-
-    Rows without a doc_id stay. If a doc_id occurs more than once among the rows that stay, one of these rows stays.
-    """
-    return keep_first(docs, near_duplicates(docs, id_col, text_col, distance), id_col)
+    """``docs`` with one row of each near-duplicate group, as ``keep_first`` chooses it."""
+    row = free_name(docs, "row")
+    keyed = docs.withColumn(row, row_hash(docs))
+    rows = settled(fingerprints(keyed, id_col, text_col, row_col=row))
+    return keep_first(docs, _rooted(rows, distance), id_col)
 
 
 def keep_first(docs: DataFrame, grouped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` whose doc_id names its component in ``grouped`` (doc_id, component_id), once each, and those without a doc_id."""
-    found = settled(grouped.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
-    keep = found.select(F.col("doc_id").alias("__keep"))
-    # Ids are near unique, so rows spread evenly whatever groups there are; one plan for all sizes, as those kept are most.
-    kept = docs.join(keep.hint("merge"), docs[id_col].cast("long") == F.col("__keep"), "left_semi")
+    """``docs`` with one row of each group in ``grouped`` (doc_id, row, root): that of the smallest doc_id.
+
+    ``row`` is ``row_hash``. Rows without a doc_id come after those with one; rows with one doc_id, in the order of their
+    hashes. A row is told by its id and hash, so rows that share an id and nothing else are judged apart, and of rows that are
+    equal in all columns one stays. ``docs`` may have any column names.
+    """
+    times = grouped.groupBy("root", "doc_id", "row").agg(F.count(F.lit(1)).alias("n"))
+    first = times.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "n")).alias("x"))
+    keep_id, keep_row, row = free_name(docs, "keep_id"), free_name(docs, "keep_row"), free_name(docs, "row")
+    found = settled(first.select(F.col("x.doc_id").alias(keep_id), F.col("x.row").alias(keep_row), F.col("x.n").alias("n")))
+    keyed = docs.withColumn(row, row_hash(docs))
+    here = keyed[id_col].cast("long").eqNullSafe(F.col(keep_id)) & (keyed[row] == F.col(keep_row))
+    # Ids with hashes are near unique, so rows spread evenly whatever groups there are; one plan for all sizes, as those kept are most.
+    pick = lambda which: keyed.join(found.where(which).select(keep_id, keep_row).hint("merge"), here, "left_semi")
+    once = pick("n = 1")
     if found.where("n > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_col])
-    return kept.union(docs.where(F.col(id_col).isNull()))
+        once = once.union(pick("n > 1").dropDuplicates([id_col, row]))
+    return once.drop(row)

@@ -3,9 +3,10 @@ from collections import Counter, defaultdict
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plexgraph.llm import chunks, decontam, simhash, similar
+from plexgraph.llm import chunks, decontam, families, simhash, similar
 from plexgraph.llm.queries import op7_substring_dedup, op8_decontamination, op9_simhash
 
 
@@ -60,7 +61,7 @@ def test_components_of_long_chains(spark):
     order = list(range(200))
     rng.shuffle(order)
     chain = [tuple(sorted(p)) for p in zip(order, order[1:])] + [(300, 301), (301, 302)]
-    got = dict(tuple(r) for r in simhash.components(spark.createDataFrame(chain, "a long, b long")).collect())
+    got = dict(tuple(r) for r in families.components(spark.createDataFrame(chain, "a long, b long")).collect())
     assert got == {**{n: 0 for n in range(200)}, 300: 300, 301: 300, 302: 300}
 
 
@@ -73,6 +74,25 @@ def test_simhash_of_odd_rows(odd, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+@pytest.mark.parametrize("keep_one", [simhash.keep_one, similar.keep_one])
+def test_rows_that_share_an_id_or_have_none_are_judged_apart(spark, keep_one):
+    a, b, c = ("one two three four five six seven", "eight nine ten eleven twelve thirteen", "some other words in a row here")
+    rows = [(1, a, 1), (1, b, 2), (1, a, 3), (2, a, 4), (None, c, 5), (None, c, 6), (None, b, 7), (3, c, 8), (None, "only without an id", 9), (None, "only without an id", 9)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, row long")
+    kept = keep_one(d).collect()
+    assert Counter(r["text"] for r in kept) == {a: 1, b: 1, c: 1, "only without an id": 1}
+    assert {(r["doc_id"], r["text"]) for r in kept} == {(1, a), (1, b), (3, c), (None, "only without an id")}
+
+
+def test_a_dense_family_is_one_component(spark):
+    base, rng = 0x0F0F1234CAFE5678, random.Random(4)
+    fps = {base ^ (1 << i) ^ (1 << j) for i in range(64) for j in range(i + 1)} | {rng.getrandbits(64) for _ in range(300)}
+    d = spark.createDataFrame([(k, simhash._signed(f)) for k, f in enumerate(sorted(fps))], "doc_id long, fp long")
+    grouped = simhash._rooted(d, 3).select("doc_id", F.col("root.id").alias("root")).collect()
+    want = dict(brute_components([(k, f) for k, f in enumerate(sorted(fps))]))
+    assert {r["doc_id"]: r["root"] for r in grouped} == want
+
+
 def test_near_copies_of_the_stage_by_brute_force(spark, sf, documents):
     rng, rows = random.Random(3), []
     for k in range(12):  # near copies in more than 3 bits, pairs below the bound, short texts
