@@ -44,10 +44,12 @@ def windows_of(words: list[bytes], size: int) -> list[tuple[bytes, ...]]:
 def blocks(items: DataFrame, id_col: str, text_col: str, size: int, block: int) -> Iterator[dict[tuple[bytes, ...], set[str]]]:
     """Windows and the ids of their items, at most ``block`` windows at a time."""
     found: dict[tuple[bytes, ...], set[str]] = {}
-    rows = items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string"), text_col)
+    rows = items.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string"), text_col)
     for item, text in rows.toLocalIterator():
         for w in windows_of(words_of(text), size):
-            found.setdefault(w, set()).add(item)
+            ids = found.setdefault(w, set())
+            if item is not None:
+                ids.add(item)
             if len(found) >= block:
                 yield found
                 found = {}
@@ -133,7 +135,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """One row (doc_id, n_words, n_hit, spans, items) for each row of ``docs``.
 
     ``spans`` are the runs of words inside occurrences of windows, ``items`` the ids whose windows occur. Null and empty
-    texts have no words and no hits. Items without id or words are left out; repeated items count once. Ties in rarity
+    texts have no words and no hits. Windows of items without an id count as hits and add nothing to ``items``; items without
+    words are left out, and repeated items count once. Ties in rarity
     fall to the smaller token. Empty tables and other columns do no harm; a repeated document is judged each time.
     """
     now = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(None).cast("array<struct<s:int,e:int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))

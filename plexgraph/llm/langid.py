@@ -102,8 +102,9 @@ def profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang"
     bounded_batches(labelled.sparkSession)
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     summed = rows.mapInArrow(_train, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code")) - 1
-    return summed.withColumn("rank", rank).where(F.col("rank") < top).select("lang", "code", "rank")
+    # A bare row_number with a bound lets Spark keep the first ``top`` of each task before rows of a language meet in one.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
+    return summed.withColumn("place", place).where(F.col("place") <= top).select("lang", "code", (F.col("place") - 1).alias("rank"))
 
 
 def distances(own: np.ndarray, codes: np.ndarray, ranks: np.ndarray, top: int) -> np.ndarray:

@@ -35,7 +35,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     """(source, size) -> with target: ``share`` of all sizes, by weights in code-point order (null last), none above ``most`` times its size.
 
     Places in the order come from range partitions and their counts. The level at which sources are filled rises from
-    pass to pass over the table of sources, as capped ones hand their excess on.
+    pass to pass over the table of sources, as capped ones hand their excess on: Newton's method on a concave function, in
+    which all sources below the level are capped at once, so passes are few however many sources are.
     """
     pid = sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("p", F.spark_partition_id())
     pid = settled(pid)
@@ -96,12 +97,12 @@ def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHA
     return settled(out.select("key", F.col("size").alias("source_size"), "target", "whole", F.coalesce("cut", F.lit(0)).cast("long").alias("cut")))
 
 
-def _planned(rows: DataFrame, plans: DataFrame) -> DataFrame:
-    """``rows`` with their source's plan; hot sources are spread by salt where the plans are too many to send to every task."""
+def _planned(rows: DataFrame, plans: DataFrame, key: str, h: str) -> DataFrame:
+    """``rows`` with (whole, cut) of their source's plan; hot sources are spread by salt where the plans are too many to send to every task."""
     if plans.count() <= SMALL:
-        return rows.join(F.broadcast(plans), rows["__key"] == plans["key"])
+        return rows.join(F.broadcast(plans), rows[key] == plans["key"])
     salted = plans.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.join(salted, (rows["__key"] == salted["key"]) & (F.pmod(rows["__h"], F.lit(SALTS)) == salted["salt"]))
+    return rows.join(salted, (rows[key] == salted["key"]) & (F.pmod(rows[h], F.lit(SALTS)) == salted["salt"]))
 
 
 def _slim(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -118,16 +119,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     rows = _slim(docs, id_col, text_col, source_col)
     plans = plan(rows, weights, share, most)
-    out = _planned(rows.select("doc_id", "size", F.col("key").alias("__key"), F.col("h").alias("__h")), plans)
-    copies = F.col("whole") + (F.col("__h") < F.col("cut")).cast("long")
+    out = _planned(rows.select("doc_id", "size", F.col("key").alias("of"), "h"), plans, "of", "h")
+    copies = F.col("whole") + (F.col("h") < F.col("cut")).cast("long")
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as it is taken."""
+    """The mix itself: the rows of ``docs``, each as often as it is taken. ``docs`` may have any column names."""
     plans = plan(_slim(docs, id_col, text_col, source_col), weights, share, most)
-    rows = docs.withColumn("__key", _key(F.col(source_col))).withColumn("__h", _hash(F.col(id_col)))
-    out = _planned(rows, plans)
-    copies = (F.col("whole") + (F.col("__h") < F.col("cut")).cast("long")).cast("int")
-    out = out.withColumn("__copies", copies).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return out.select(*[rows[c] for c in docs.columns])
+    # The columns of ``docs`` stand in one struct, so that no name is met twice.
+    keyed = docs.select(F.struct(*[docs[_quoted(c)] for c in docs.columns]).alias("doc"), _key(docs[source_col]).alias("of"), _hash(docs[id_col]).alias("h"))
+    copies = (F.col("whole") + (F.col("h") < F.col("cut")).cast("long")).cast("int")
+    out = _planned(keyed, plans, "of", "h").select("doc", copies.alias("copies")).where("copies > 0")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
+
+
+def _quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"

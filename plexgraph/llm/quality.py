@@ -1,11 +1,12 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Each rule compares one measure of a text with a cutoff from a fixed ladder. A cutoff may be used in a stratum (a
-language) only if the labelled good documents there show, by an exact binomial test, that it rejects at most
-``risk / rules`` of the good ones. Each rule's ladder is tested from its lenient end and ends at the first cutoff that
-fails (a fixed sequence, whose tests need no correction among themselves; stricter cutoffs reject more, so none behind it
-passes); the rules of all strata share the error ``delta`` evenly (Bonferroni). The last cutoff that passes is used. So with probability 1 - delta the rules together reject at most a share
-``risk`` of the good documents of every stratum. A stratum with too few labels gets no cutoff and rejects nothing.
+Each rule compares one measure of a text with a cutoff from a ladder; all rules step down their ladders together. A step may
+be used in a stratum (a language) only if the labelled good documents there show, by an exact binomial test, that its rules
+together reject at most a share ``risk`` of the good ones. The steps are tested from the lenient end, up to the first that
+fails: a fixed sequence, whose tests need no correction among themselves (stricter steps reject more, so none behind it
+passes). The strata share the error ``delta`` evenly (Bonferroni). The last step that passes is used. So with probability
+1 - delta the rules reject at most a share ``risk`` of the good documents of every stratum. A stratum with too few labels
+gets no cutoffs and rejects nothing.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plexgraph.llm.common import SPACE, settled
+from plexgraph.llm.common import SPACE, free_name, row_hash, settled
 
 RISK, DELTA = 0.02, 0.05
 Get = Callable[[str], Column]
@@ -28,12 +29,13 @@ def _per(top: str, bottom: str, sign: int = 1) -> Callable[[Get], Column]:
 
 #: rule -> (measure, ladder from strict to lenient). A text whose measure is above the cutoff goes.
 RULES: dict[str, tuple[Callable[[Get], Column], tuple[float, ...]]] = {
-    "symbols": (_per("n_symbols", "n_words"), (0.02, 0.05, 0.1, 0.2, 0.4, 0.8, 1.6)),
+    "symbols": (_per("n_symbols", "n_words"), (0.05, 0.1, 0.2, 0.4, 0.8, 1.6)),
     "dup_lines": (_per("n_dup_lines", "n_lines"), (0.05, 0.1, 0.2, 0.3, 0.5, 0.7)),
     "repeats": (_per("n_repeat_words", "n_words"), (0.02, 0.05, 0.1, 0.2, 0.3, 0.4)),
     "long_words": (_per("word_chars", "n_words"), (6.0, 7.0, 8.0, 10.0, 12.0, 16.0)),
     "short_words": (_per("word_chars", "n_words", -1), (-5.0, -4.5, -4.0, -3.5, -3.0, -2.0)),
 }
+STEPS = 6
 SYMBOLS = "#*$%&|<>"
 
 
@@ -88,9 +90,9 @@ def _rejected(c: Get, cut: Get) -> Column:
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """(doc_id, stratum, measures) of every row; stratum is "" for null and "=" before other values."""
-    m = docs.select(F.col(id_col).cast("long").alias("doc_id"), _stratum(F.col(stratum_col)).alias("stratum"), measures(F.col(text_col)).alias("m"))
-    return m.select("doc_id", "stratum", *[F.col(f"m.{at}").alias(name) for name, at in _FLAT.items()])
+    """(doc_id, row, stratum, measures) of every row; row is its ``row_hash``, stratum "" for null and "=" before other values."""
+    m = docs.select(docs[id_col].cast("long").alias("doc_id"), row_hash(docs).alias("row"), _stratum(docs[stratum_col]).alias("stratum"), measures(docs[text_col]).alias("m"))
+    return m.select("doc_id", "row", "stratum", *[F.col(f"m.{at}").alias(name) for name, at in _FLAT.items()])
 
 
 def _stratum(c: Column) -> Column:
@@ -112,20 +114,19 @@ def _most_errors(n: Column, rate: float, delta: Column) -> Column:
 
 
 def cutoffs(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", good_col: str = "quality", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """(stratum, one double for each rule): the strictest cutoff that is safe there, null if none is.
+    """(stratum, one double for each rule): the strictest step that is safe there, nulls if none is.
 
     A document is good if every label row of its id says 1; null labels are no labels. Repeated rows of a document are
     repeated trials of the same kind, so they count once.
     """
     good = labels.where(F.col(id_col).isNotNull() & F.col(good_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(good_col).alias("q")).where("q = 1")
     trials = rows.join(good, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    tests = [(r, j, m(F.col) > F.lit(c)) for r, (m, ladder) in RULES.items() for j, c in enumerate(ladder)]
-    seen = trials.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(t).alias(f"x_{r}_{j}") for r, j, t in tests])
-    seen = settled(seen)
-    share = F.lit(delta) / F.lit(max(1, seen.count()) * len(RULES))
-    allowed = seen.withColumn("k", _most_errors(F.col("n"), risk / len(RULES), share))
-    strictest = [F.coalesce(*[F.when(F.col(f"x_{r}_{j}") <= F.col("k"), F.lit(float(c))) for j, c in enumerate(ladder)]).alias(r) for r, (_, ladder) in RULES.items()]
-    return allowed.select("stratum", *strictest)
+    rejects = [F.exists(F.array(*[m(F.col) > F.lit(ladder[j]) for m, ladder in RULES.values()]), lambda x: x) for j in range(STEPS)]
+    seen = settled(trials.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(x).alias(f"x_{j}") for j, x in enumerate(rejects)]))
+    allowed = seen.withColumn("k", _most_errors(F.col("n"), risk, F.lit(delta) / F.lit(max(1, seen.count()))))
+    step = F.coalesce(*[F.when(F.col(f"x_{j}") <= F.col("k"), F.lit(j)) for j in range(STEPS)])
+    cut = lambda ladder: F.get(F.array(*[F.lit(float(c)) for c in ladder]), F.col("step"))
+    return allowed.withColumn("step", step).select("stratum", *[cut(ladder).alias(r) for r, (_, ladder) in RULES.items()])
 
 
 #: Strata up to which the cutoffs are sent to every task; beyond, they are joined by shuffle.
@@ -138,10 +139,10 @@ def _with_cutoffs(rows: DataFrame, cuts: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", good_col: str = "quality", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """One row (doc_id, measures, base_failed, kept) for each row of ``docs``.
+    """One row (doc_id, row, measures, base_failed, kept) for each row of ``docs``; row is its ``row_hash``.
 
     Null and blank texts have no words and fail the base rule. A null stratum is a stratum of its own. Without labels,
-    or with too few, the base rule alone decides. Empty tables give empty results; other columns are not read; repeated
+    or with too few, the base rule alone decides. Empty tables give empty results; other columns are only hashed; repeated
     rows are judged alike.
     """
     rows = settled(measured(docs, id_col, text_col, stratum_col))
@@ -151,14 +152,13 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", good_col: str = "quality", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with their columns; no text is moved between tasks."""
-    rows = settled(measured(docs, id_col, text_col, stratum_col))
-    cuts = cutoffs(rows, labels, id_col, good_col, risk, delta).select("stratum", F.struct(*RULES).alias("__cut")).withColumnRenamed("stratum", "__stratum")
-    cuts = settled(cuts)
-    cuts = F.broadcast(cuts) if cuts.count() <= SMALL else cuts
-    own = docs.withColumn("__m", measures(F.col(text_col)))
-    own = own.join(cuts, _stratum(own[stratum_col]) == cuts["__stratum"], "left")
-    get, cut = lambda n: F.col(f"__m.{_FLAT[n]}"), lambda r: F.col(f"__cut.{r}")
-    # One expression over both sides of the join, so that no part of it is pushed below the measures.
-    kept = own.where(F.when(_rejected(get, cut), F.lit(False)).otherwise(~base_failed(get)))
-    return kept.select(*[docs[c] for c in docs.columns])
+    """The rows of ``docs`` that ``judge`` keeps, with their columns, whatever their names.
+
+    Texts are measured once; the verdicts meet the rows again by id and ``row_hash``, near unique keys that spread evenly.
+    """
+    keep_id, keep_row, row = (free_name(docs, n) for n in ("keep_id", "keep_row", "row"))
+    found = judge(docs, labels, id_col, text_col, stratum_col, good_col, risk, delta).where("kept")
+    found = settled(found.select(F.col("doc_id").alias(keep_id), F.col("row").alias(keep_row)).distinct())
+    keyed = docs.withColumn(row, row_hash(docs))
+    here = keyed[id_col].cast("long").eqNullSafe(F.col(keep_id)) & (keyed[row] == F.col(keep_row))
+    return keyed.join(found.hint("merge"), here, "left_semi").drop(row)

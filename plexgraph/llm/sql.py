@@ -28,11 +28,10 @@ def rules() -> str:
         "symbols": "n_symbols / greatest(n_words, 1)", "dup_lines": "n_dup_lines / greatest(n_lines, 1)", "repeats": "n_repeat_words / greatest(n_words, 1)",
         "long_words": "word_chars / greatest(n_words, 1)", "short_words": "-word_chars / greatest(n_words, 1)",
     }
-    tests = [(r, j, c) for r, (_, ladder) in quality.RULES.items() for j, c in enumerate(ladder)]
-    seen = ", ".join(f"count(*) FILTER ({measure[r]} > {c}) AS x_{r}_{j}" for r, j, c in tests)
-    cuts = ", ".join("coalesce(" + ", ".join(f"CASE WHEN x_{r}_{j} <= k THEN {c}::DOUBLE END" for j, c in enumerate(ladder)) + f") AS {r}" for r, (_, ladder) in quality.RULES.items())
+    seen = ", ".join("count(*) FILTER (" + " OR ".join(f"{measure[r]} > {ladder[j]}" for r, (_, ladder) in quality.RULES.items()) + f") AS x_{j}" for j in range(quality.STEPS))
+    cuts = ", ".join("coalesce(" + ", ".join(f"CASE WHEN x_{j} <= k THEN {c}::DOUBLE END" for j, c in enumerate(ladder)) + f") AS {r}" for r, (_, ladder) in quality.RULES.items())
     bad = " OR ".join(f"coalesce({measure[r]} > {r}, false)" for r in quality.RULES)
-    rate = quality.RISK / len(quality.RULES)
+    rate = quality.RISK
     return f"""WITH a AS (SELECT doc_id, coalesce('=' || lang, '') AS stratum, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
 g AS (SELECT doc_id, k, ws[k] || ' ' || ws[k + 1] || ' ' || ws[k + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS k FROM a)),
 tw AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g),
@@ -44,18 +43,18 @@ gd AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NUL
 se AS (SELECT stratum, count(*) AS n, {seen} FROM m WHERE doc_id IN (SELECT doc_id FROM gd) GROUP BY stratum),
 tm AS (SELECT stratum, n, i, CASE WHEN i = 0 THEN n * ln(1 - {rate}) ELSE ln((n - i + 1) / i) + ln({rate} / (1 - {rate})) END AS step FROM (SELECT stratum, n, unnest(range(0, 1 + greatest(1, ceil(n * {rate}))::BIGINT)) AS i FROM se)),
 cd AS (SELECT stratum, i, sum(exp(term)) OVER (PARTITION BY stratum ORDER BY i) AS cdf FROM (SELECT stratum, i, sum(step) OVER (PARTITION BY stratum ORDER BY i) AS term FROM tm)),
-km AS (SELECT se.*, coalesce((SELECT max(i) FROM cd WHERE cd.stratum = se.stratum AND cdf <= {quality.DELTA} / ((SELECT count(*) FROM se) * {len(quality.RULES)})), -1) AS k FROM se), ct AS (SELECT stratum, {cuts} FROM km)
+km AS (SELECT se.*, coalesce((SELECT max(i) FROM cd WHERE cd.stratum = se.stratum AND cdf <= {quality.DELTA} / ((SELECT count(*) FROM se))), -1) AS k FROM se), ct AS (SELECT stratum, {cuts} FROM km)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT ({bad}) AS kept FROM m LEFT JOIN ct ON m.stratum = ct.stratum"""
 
 
 def leaks() -> str:
     words = f"list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), lambda x: x <> '')"
-    return f"""WITH d AS (SELECT doc_id, {words} AS ws FROM documents), b AS (SELECT item_id, ws, least(10, len(ws)) AS n FROM (SELECT item_id, {words} AS ws FROM benchmark WHERE item_id IS NOT NULL) WHERE len(ws) > 0),
+    return f"""WITH d AS (SELECT doc_id, {words} AS ws FROM documents), b AS (SELECT item_id, ws, least(10, len(ws)) AS n FROM (SELECT item_id, {words} AS ws FROM benchmark) WHERE len(ws) > 0),
 w AS (SELECT DISTINCT item_id, n, array_to_string(ws[k:k + n - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS k FROM b)), ns AS (SELECT DISTINCT n FROM w),
 dw AS (SELECT doc_id, n, k, array_to_string(ws[k:k + n - 1], ' ') AS win FROM (SELECT doc_id, n, ws, unnest(range(1, len(ws) - n + 2)) AS k FROM d, ns WHERE len(ws) >= n)),
 h AS (SELECT doc_id, item_id, dw.n, k FROM dw JOIN w ON dw.win = w.win AND dw.n = w.n), p AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM h) GROUP BY doc_id),
-i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN p ON d.doc_id = p.doc_id LEFT JOIN i ON d.doc_id = i.doc_id"""
 

@@ -93,38 +93,45 @@ def test_a_dense_family_is_one_component(spark):
     assert {r["doc_id"]: r["root"] for r in grouped} == want
 
 
-def test_near_copies_of_the_stage_by_brute_force(spark, sf, documents):
-    rng, rows = random.Random(3), []
-    for k in range(12):  # near copies in more than 3 bits, pairs below the bound, short texts
-        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([6, 40, 100, 400]))]
-        for j in range(4):
-            other = list(words)
-            for _ in range(j * len(words) // 60):
-                other[rng.randrange(len(other))] = f"x{rng.randrange(5000)}"
-            rows.append((1_000_000 + 10 * k + j, " ".join(other)))
-    docs = documents.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
-    texts = [(r["doc_id"], r["text"].encode().lower().split()) for r in docs.collect()]
-    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()) for d, w in texts}
-    ids, parent = sorted(sets), {d: d for d in sets}
+def brute_similar(texts):
+    """id -> smallest id reachable by links of 0.8 between sets of five-word shingles, and the links."""
+    sets = {}
+    for d, t in texts.items():
+        w = t.encode().lower().split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    ids, parent, linked = sorted(sets), {d: d for d in sets}, []
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    far = 0
-    fps = {d: simhash.fingerprint(r) for d, r in ((d, b" ".join(w).decode()) for d, w in texts)}
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
             x, y = sets[a], sets[b]
             n = len(x & y)
             if x == y or (n and 5 * n >= 4 * (len(x) + len(y) - n)):
-                far += (fps[a] ^ fps[b]).bit_count() > 3
+                linked.append((a, b))
                 p, q = sorted((find(a), find(b)))
                 parent[q] = p
-    assert far > 3
-    want = {d for d in ids if find(d) == d}
-    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()} == want
+    return {d: find(d) for d in ids}, linked
+
+
+def test_near_copies_of_the_stage_by_brute_force(spark, sf, documents):
+    rng, rows = random.Random(3), []
+    for k in range(12):  # near copies in more than 3 bits, pairs below the bound, short texts
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([6, 40, 100, 400]))]
+        for j in range(4):
+            other = list(words)
+            for _ in range(j * len(words) // 60):
+                other[rng.randrange(len(other))] = f"x{rng.randrange(5000)}"
+            rows.append((1_000_000 + 10 * k + j, " ".join(other)))
+    docs = documents.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    root, linked = brute_similar(texts)
+    fps = {d: simhash.fingerprint(t) for d, t in texts.items()}
+    assert sum((fps[a] ^ fps[b]).bit_count() > 3 for a, b in linked) > 3
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()} == {d for d in texts if root[d] == d}
 
 
 def test_a_large_group_of_near_copies_and_odd_rows(spark, odd, none):
@@ -169,9 +176,9 @@ def test_blocks_of_items_give_what_one_block_gives(spark, sf, documents):
 def test_decontamination_edges(spark, odd, none):
     items = spark.createDataFrame([(1, "ALPHA, beta-gamma! delta alpha beta gamma delta alpha beta gamma"), (2, "one"), (3, None), (4, ""), (None, "some words here"), (10, "one")], "item_id long, text string")
     got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontam.contamination(odd, items).collect()}
-    assert got[1] == (119, ["1"]) and got[7] == (1, ["10", "2"]) and got[2] == got[3] == (0, []) and got[None] == (0, [])
+    assert got[1] == (119, ["1"]) and got[7] == (1, ["10", "2"]) and got[2] == got[3] == (0, []) and got[None] == (3, [])
     kept = decontam.decontaminate(odd, items)
-    assert kept.columns == odd.columns and sorted((r["doc_id"] for r in kept.collect()), key=str) == [2, 3, 4, 5, 6, 8, None]
+    assert kept.columns == odd.columns and sorted((r["doc_id"] for r in kept.collect()), key=str) == [2, 3, 4, 5, 6, 8]
     assert decontam.contamination(none, items).count() == 0
     assert decontam.contamination(odd, items.limit(0)).where("n_hit > 0").count() == 0 and decontam.decontaminate(odd, items.limit(0)).count() == 10
 
@@ -247,6 +254,18 @@ def test_repeats_of_odd_rows(spark, odd, none):
     assert out[1] == rows[0][1] and out[3] == rows[2][1] and out[4] is None and len(out[2]) < 200 and out[2].endswith("and a second one")
 
 
+def test_repeats_tell_rows_that_share_an_id_or_have_none(spark):
+    passage, other = (" ".join(f"{c}{i * 7919 % 1000}" for i in range(90)) for c in ("one", "two"))
+    rows = [(1, passage, 1), (None, passage, 2), (None, passage, 3), (None, passage, 3), (1, other, 4), (2, f"{passage} tail", 5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, cut long")
+    got = sorted((r["doc_id"] or 0, r["spans"][0]["later"]) for r in chunks.repeats(d).collect())
+    assert got == [(0, True), (0, True), (1, False), (2, True)]
+    out = chunks.deduplicated(d)
+    assert out.columns == d.columns
+    texts = {r["cut"]: r["text"] for r in out.collect()}
+    assert texts[1] == passage and texts[4] == other and all(len(texts[k]) < 120 for k in (2, 3, 5)) and out.count() == 6
+
+
 def test_what_an_earlier_document_has_goes_beside_what_only_a_later_one_has(spark):
     one, two = (" ".join(f"{c}{i * 7919 % 1000}" for i in range(80)) for c in ("early", "late"))
     rows = [(1, f"first text here. {one}"), (2, f"{one} {two}"), (3, f"{one} {two}")]

@@ -158,6 +158,23 @@ def test_a_full_shard_passes_on_clockwise():
     assert set(Counter(held.values()).values()) == {256}
 
 
+def test_frequent_ids_and_groups_of_equal_texts_keep_the_law(spark):
+    rows = [(None, f"text {k} of one without an id", k) for k in range(500)] + [(k, "a text that a third of all rows share", k) for k in range(600)] + [(k, f"plain {k} " * 3, k) for k in range(700)]
+    rows += [(5000 + k, f"pair {k // 2}", k) for k in range(100)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, unit long")
+    got = ring.shards(d, slack=0.02).collect()
+    load = check_shards(got, 8)
+    mean = sum(load.values()) / 8
+    assert len(got) == len(rows) and max(load.values()) <= 1.03 * mean and min(load.values()) >= 0.8 * mean
+    shard = {}
+    for r in got:
+        if (r["doc_id"] or 0) >= 5000:
+            shard.setdefault(r["text_crc32"], set()).add(r["shard"])
+    assert all(len(s) == 1 for s in shard.values())
+    again = Counter((r["doc_id"], r["shard"]) for r in ring.sharded(d, slack=0.02).collect())
+    assert again == Counter((r["doc_id"], r["shard"]) for r in got)
+
+
 def test_shards_of_odd_rows(odd, none, tmp_path):
     rows = ring.shards(odd, n=3).collect()
     check_shards(rows, 3)
@@ -171,19 +188,39 @@ def test_shards_of_odd_rows(odd, none, tmp_path):
 
 
 def test_pipeline_equals_its_steps(spark, sf, documents):
-    from tests.llm.test_dedup import brute_components, brute_fingerprint, brute_hits
+    from tests.llm.test_dedup import brute_hits, brute_similar
 
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     docs = {r["doc_id"]: r for r in documents.collect()}
     kept = {r["doc_id"] for r in op6_quality_rules(spark, sf).collect() if r["kept"]}
-    comps = dict(brute_components([(d, brute_fingerprint(docs[d]["text"])) for d in kept]))
-    clean = {d for d in kept if comps[d] == d and not brute_hits(docs[d]["text"], items)[1]}
+    root, _ = brute_similar({d: docs[d]["text"] for d in kept})
+    clean = {d for d in kept if root[d] == d and not brute_hits(docs[d]["text"], items)[1]}
     n = Counter(r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect())
     assert set(n) <= clean and max(n.values()) <= 2
     left = [docs[d].asDict() for d in clean]
+    sizes = _sizes(left)
+    full = {s for s, t in brute_targets(sizes).items() if t >= sizes[s]}
+    assert full and {d for d in clean if docs[d]["source"] in full and WORD.search(docs[d]["text"])} <= set(n)
     check_mix([{"doc_id": d["doc_id"], "size": (s := len(WORD.findall(d["text"]))), "taken": n[d["doc_id"]] * s, "source_size": sum(len(WORD.findall(x["text"])) for x in left if x["source"] == d["source"]), "target": brute_targets(_sizes(left))[d["source"]]} for d in left], left)
 
 
+def test_pipeline_of_odd_rows(spark, odd, none, tmp_path):
+    labels, items = spark.createDataFrame([(1, 1), (None, 0)], "doc_id long, quality int"), spark.createDataFrame([(None, "one")], "item_id long, text string")
+    words = " ".join(f"v{i}" for i in range(90))
+    more = spark.createDataFrame([(None, f"{words} a", "en", "a"), (None, f"{words} a", "en", "a"), (40, f"{words} b", "en", "a"), (40, words[::-1], "en", "b")], "doc_id long, text string, lang string, source string")
+    docs = odd.unionByName(more, allowMissingColumns=True)
+    for name, rows in (("full", docs), ("empty", none)):
+        rows.write.parquet(f"file://{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"file://{tmp_path}/{name}/labels.parquet")
+        items.write.parquet(f"file://{tmp_path}/{name}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, f"file://{tmp_path}/full")
+    assert sorted(out.columns) == sorted(odd.columns)
+    # 1 repeats itself, 2 to 4, 7, 8 and the first without an id have too few words; of what shares ``words`` 40 stays.
+    assert {(r["doc_id"], r["text"][:4]) for r in out.collect()} <= {(5, "w0 w"), (40, "v0 v"), (40, words[::-1][:4])}
+    assert {r["doc_id"] for r in out.collect()} == {5, 40}
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/empty").count() == 0
+
+
 def _sizes(docs):
     out = Counter()
     for d in docs:
