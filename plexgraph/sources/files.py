@@ -9,17 +9,22 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# Languages by extension, Ruby files by name, and names and endings that are never read as source.
 LANGUAGES = {
-    "go": "go",
-    "cjs": "javascript", "js": "javascript", "jsx": "javascript", "mjs": "javascript",
     "py": "python",
-    "gemspec": "ruby", "rake": "ruby", "rb": "ruby", "rbi": "ruby", "ru": "ruby",
     "ts": "typescript", "tsx": "tsx",
+    "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript",
+    "rb": "ruby", "rake": "ruby", "gemspec": "ruby", "ru": "ruby", "rbi": "ruby",
+    "go": "go",
 }
-RUBY_FILES = "Brewfile Capfile Gemfile Guardfile Podfile Rakefile Vagrantfile".split()
-IGNORED_NAMES = """.DS_Store .coverage .eggs .env .git .idea .mypy_cache .pytest_cache .ruff_cache .tox .venv .vscode __pycache__ build
-coverage dist egg-info htmlcov node_modules package-lock.json poetry.lock uv.lock venv yarn.lock""".split()
-IGNORED_ENDINGS = ".bundle.js .dylib .map .min.js .pyc .pyo .so".split()
+RUBY_FILES = ["Gemfile", "Rakefile", "Guardfile", "Capfile", "Vagrantfile", "Brewfile", "Podfile"]
+IGNORED_NAMES = [
+    ".git", ".idea", ".vscode", ".DS_Store",
+    "node_modules", "dist", "build", "coverage",
+    "__pycache__", ".venv", "venv", ".env", ".eggs", "egg-info", ".tox", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".coverage", "htmlcov",
+    "package-lock.json", "yarn.lock", "poetry.lock", "uv.lock",
+]
+IGNORED_ENDINGS = [".pyc", ".pyo", ".so", ".dylib", ".min.js", ".bundle.js", ".map"]
 
 
 def language(path: Column) -> Column:
