@@ -59,35 +59,35 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit
 FROM d LEFT JOIN p ON d.doc_id = p.doc_id LEFT JOIN i ON d.doc_id = i.doc_id"""
 
 
-def urls() -> str:
+def urls(depth: int = 3) -> str:
+    """The path-template tree unrolled to ``depth`` segments, which the paths of the tables don't exceed."""
     low = _LOWER.format("host || path")
     fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
     ordered = sorted(urltree.RULES, key=lambda r: (-len(r.text), r.text))
     rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r.text}'" for r in ordered) + " END"
     verdict = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r.verdict}'" for r in ordered) + " END"
-    steps, above = [], "host"
-    keys = ["host", *[f"s{k + 1}" for k in range(urltree.DEPTH)]]
-    for k in range(1, urltree.DEPTH + 1):
-        share = "(px / greatest(pn, 1))"
-        on = " AND ".join(f"c.{a} = p.{a}" for a in above.split(", "))
-        join = " AND ".join(f"n{k - 1}.{a} = e{k}.{a}" for a in [*above.split(", "), f"s{k}"])
+    support, z, strength = urltree.SUPPORT, urltree.Z, urltree.STRENGTH
+    steps, done = [], []
+    for k in range(depth + 1):
         steps.append(
-            f"""ch{k} AS (SELECT {above}, s{k}, sum(n) AS cn, sum(x) AS cx FROM n{k - 1} GROUP BY {above}, s{k}), pa{k} AS (SELECT {above}, sum(cn) AS pn, sum(cx) AS px FROM ch{k} GROUP BY {above}),
-e{k} AS (SELECT {", ".join(f"c.{a}" for a in above.split(", "))}, s{k}, CASE WHEN s{k} IN ('', '*') OR (cn >= {urltree.SUPPORT} AND abs(cx / greatest(cn, 1) - {share}) > {urltree.Z} * sqrt({share} * (1 - {share}) / greatest(cn, 1))) THEN s{k} ELSE '*' END AS t{k} FROM ch{k} c JOIN pa{k} p ON {on}),
-n{k} AS (SELECT n{k - 1}.*, e{k}.t{k} FROM n{k - 1} JOIN e{k} ON {join})"""
+            f"""p{k} AS (SELECT n{k}.*, (sum(x) OVER v + {strength} * above) / (sum(n) OVER v + {strength}) AS purity, sum(n) OVER v >= {support} AND len(path) > {k} AS goes_on FROM n{k} WINDOW v AS (PARTITION BY node)),
+c{k} AS (SELECT *, path[{k + 1}] AS seg FROM p{k} WHERE goes_on), d{k} AS (SELECT node, seg, sum(n) AS cn, sum(x) AS cx FROM c{k} GROUP BY node, seg),
+f{k} AS (SELECT *, sum(cn) OVER v AS pn, sum(cx) OVER v AS px FROM d{k} WINDOW v AS (PARTITION BY node)),
+g{k} AS (SELECT node, seg, CASE WHEN seg = '*' OR pn = cn OR (cn >= {support} AND pn - cn >= {support} AND abs(cx / greatest(cn, 1) - (px - cx) / greatest(pn - cn, 1)) > {z} * sqrt(px / greatest(pn, 1) * (1 - px / greatest(pn, 1)) * (1 / greatest(cn, 1) + 1 / greatest(pn - cn, 1)))) THEN seg ELSE '*' END AS s FROM f{k}),
+n{k + 1} AS (SELECT tree, host, segs, path, n, x, c{k}.node || '/' || s AS node, purity AS above FROM c{k} JOIN g{k} ON c{k}.node = g{k}.node AND c{k}.seg = g{k}.seg)"""
         )
-        above += f", t{k}"
-    last = f"n{urltree.DEPTH}"
-    names = ", ".join(f"coalesce(sg[{k + 1}], '') AS s{k + 1}" for k in range(urltree.DEPTH))
+        done.append(f"SELECT tree, host, segs, purity FROM p{k} WHERE NOT goes_on")
     return f"""WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 v AS (SELECT page_id, {_LOWER.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
-y AS (SELECT *, regexp_matches({low}, '(^|[^a-z0-9])({'|'.join(urltree.SEEDS)})([^a-z0-9]|$)') AS bad, list_transform(list_filter(string_split({_LOWER.format("path")}, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '{urltree.VARIABLE}') THEN '*' ELSE s END) AS sg FROM v),
-rw AS (SELECT page_id, host, path, bad, {names} FROM y), n0 AS (SELECT {", ".join(keys)}, count(bad) AS n, count(*) FILTER (bad) AS x FROM rw GROUP BY {", ".join(keys)}),
-{", ".join(steps)}, pr AS (SELECT sum(x) / sum(n) AS prior FROM n0),
-sm AS (SELECT {above}, (sum(x) + {urltree.STRENGTH} * (SELECT coalesce(prior, 0) FROM pr)) / (sum(n) + {urltree.STRENGTH}) AS purity FROM {last} GROUP BY {above}),
-tr AS (SELECT {", ".join(f"{last}.{k}" for k in keys)}, purity FROM {last} JOIN sm ON {" AND ".join(f"{last}.{a} = sm.{a}" for a in above.split(", "))})
-SELECT page_id, rw.host, path, {rule.replace("host", "rw.host")} AS rule, coalesce({verdict.replace("host", "rw.host")}, CASE WHEN purity >= {urltree.BLOCK_AT} THEN 'block' ELSE 'allow' END) AS verdict
-FROM rw LEFT JOIN tr ON {" AND ".join(f"rw.{k} = tr.{k}" for k in keys)}"""
+crc AS (WITH RECURSIVE t(i, k, c) AS (SELECT range, 0, range::UBIGINT FROM range(256) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END FROM t WHERE k < 8) SELECT list(c ORDER BY i) AS tab FROM t WHERE k = 8),
+y AS (SELECT *, regexp_matches({low}, '(^|[^a-z0-9])({'|'.join(urltree.SEEDS)})([^a-z0-9]|$)') AS bad, array_to_string(list_transform(list_filter(string_split({_LOWER.format("path")}, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '{urltree.VARIABLE}') THEN '*' ELSE s END), '/') AS segs,
+(xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, octet_length(encode(host || path)) + 1), lambda i: ('0x' || substr(hex(encode(host || path)), 2 * i::INTEGER - 1, 2))::UBIGINT)), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT) % {urltree.FOLDS})::INTEGER AS fold FROM v, crc),
+o AS (SELECT host, segs, tree, sum(CASE WHEN fold = tree THEN 0 ELSE 1 END) AS n, sum(CASE WHEN fold <> tree AND bad THEN 1 ELSE 0 END) AS x FROM y, range({urltree.FOLDS}) AS r(tree) GROUP BY host, segs, tree),
+pr AS (SELECT tree, coalesce(sum(x) / nullif(sum(n), 0), 0) AS prior FROM o GROUP BY tree),
+n0 AS (SELECT o.tree, host, segs, CASE WHEN segs = '' THEN [] ELSE string_split(segs, '/') END AS path, n, x, o.tree || '/' || host AS node, prior AS above FROM o JOIN pr ON o.tree = pr.tree),
+{", ".join(steps)}, tr AS ({" UNION ALL ".join(done)})
+SELECT page_id, y.host, path, {rule.replace("host", "y.host")} AS rule, coalesce({verdict.replace("host", "y.host")}, CASE WHEN purity >= {urltree.BLOCK_AT} THEN 'block' ELSE 'allow' END) AS verdict
+FROM y JOIN tr ON y.fold = tr.tree AND y.host = tr.host AND y.segs = tr.segs"""
 
 
 ORACLES = {"op3_mixing": mix(), "op4_url_filters": urls(), "op6_quality_rules": rules(), "op8_decontamination": leaks()}

@@ -208,13 +208,70 @@ def test_rules_of_urls(spark):
     assert urltree.judge(d.limit(0)).count() == 0
 
 
-def test_template_tree_merges_and_rejects(spark):
-    good = [f"http://shop.example.org/item/{i}" for i in range(60)] + [f"http://shop.example.org/about{i}" for i in range(5)]
-    bad = [f"http://shop.example.org/casino/{i}.html" for i in range(40)] + [f"http://my-pills.example.org/p{i}" for i in range(6)]
-    d = spark.createDataFrame(list(enumerate(good + bad)), "page_id long, url string")
-    rows = urltree.judge(d).collect()
-    assert {r["verdict"] for r in rows if r["page_id"] < len(good)} == {"allow"} and {r["verdict"] for r in rows if r["page_id"] >= len(good)} == {"block"}
-    assert {r["template"] for r in rows if "casino" in r["path"]} == {"shop.example.org/casino/*"} and len({r["template"] for r in rows if "about" in r["path"]}) == 1
+def brute_purity(pages, prior_of):
+    """(host, path) -> purity by the tree of its fold, from [(host, segments, fold, bad, key)], by plain recursion."""
+    out = {}
+    for tree in (0, 1):
+        prior = prior_of(tree)
+
+        def walk(rows, depth, above, tree=tree):
+            train = [r for r in rows if r[2] != tree]
+            n, x = len(train), sum(r[3] for r in train)
+            purity = (x + urltree.STRENGTH * above) / (n + urltree.STRENGTH)
+            on = [r for r in rows if len(r[1]) > depth] if n >= urltree.SUPPORT else []
+            out.update({r[4]: purity for r in rows if r[2] == tree and r not in on})
+            px, pn, branches = sum(r[3] for r in on if r[2] != tree), sum(r[2] != tree for r in on), {}
+            for seg in {r[1][depth] for r in on}:
+                mine = [r for r in on if r[1][depth] == seg]
+                cn, cx = sum(r[2] != tree for r in mine), sum(r[3] for r in mine if r[2] != tree)
+                rn, rx = pn - cn, px - cx
+                share = px / max(pn, 1)
+                error = math.sqrt(share * (1 - share) * (1 / max(cn, 1) + 1 / max(rn, 1)))
+                stays = seg == "*" or rn == 0 or min(cn, rn) >= urltree.SUPPORT and abs(cx / max(cn, 1) - rx / max(rn, 1)) > urltree.Z * error
+                branches.setdefault(seg if stays else "*", []).extend(mine)
+            for rows_of in branches.values():
+                walk(rows_of, depth + 1, purity)
+
+        for host in {r[0] for r in pages}:
+            walk([r for r in pages if r[0] == host], 0, prior)
+    return out
+
+
+def test_template_tree_by_brute_force(spark):
+    rng = random.Random(8)
+    urls = set()
+    for _ in range(900):
+        host = rng.choice(["a.org", "b.org", "c.org", "b.org", "rare.org"]) if rng.random() < 0.95 else f"h{rng.randrange(30)}.org"
+        deep = [rng.choice(["x", "y", "z", "news", "7", "item-1-2-3-4"]) for _ in range(rng.randrange(7))]
+        if rng.random() < 0.3:
+            deep[2:3] = [rng.choice(["casino", "casino-2", "poker"])] if host == "b.org" else ["casino" if rng.random() < 0.2 else "w"]
+        urls.add((host, "/" + "/".join(deep)))
+    seed = re.compile(rf"(^|[^a-z0-9])({'|'.join(urltree.SEEDS)})([^a-z0-9]|$)")
+    segs = lambda p: ["*" if re.search(urltree.VARIABLE, x) else x for x in p.split("/") if x]
+    rows = [(h, segs(p), zlib.crc32(f"{h}{p}".encode()) % 2, bool(seed.search(h + p)), (h, p)) for h, p in sorted(urls)]
+
+    def prior(tree):
+        train = [r[3] for r in rows if r[2] != tree]
+        return sum(train) / len(train)
+
+    d = spark.createDataFrame([(k, f"http://{h}{p}") for k, (h, p) in enumerate(sorted(urls))], "page_id long, url string")
+    got = {(r["host"], r["path"]): r["purity"] for r in urltree.judge(d, rules=()).collect()}
+    want = brute_purity(rows, prior)
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in got)
+    verdict = {k: v >= urltree.BLOCK_AT for k, v in got.items()}
+    seeded = {r[4]: r[3] for r in rows}
+    assert any(verdict[k] != seeded[k] for k in verdict) and any(verdict.values())  # the label of a URL doesn't decide on it
+
+
+def test_verdicts_agree_with_labels_that_were_held_out(spark):
+    hosts = {"shop.example.org": 0, "my-pills.example.org": 1, "poker.example.org": 1, "blog.example.org": 0}
+    rows = [(f"http://{h}/{'abcdefgh'[i % 8]}/{i}", b) for h, b in hosts.items() for i in range(120)] + [(f"http://shop.example.org/casino/{i}.html", 1) for i in range(80)]
+    d = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(rows)], "page_id long, url string")
+    got = {r["page_id"]: r for r in urltree.judge(d).collect()}
+    right = sum((got[k]["verdict"] == "block") == bool(b) for k, (_, b) in enumerate(rows))
+    assert right / len(rows) > 0.98
+    assert {r["template"] for r in got.values() if "casino" in r["path"]} == {"shop.example.org/casino/*"}
+    assert len({r["template"] for r in got.values() if r["host"] == "shop.example.org"}) == 2
 
 
 def test_url_query_has_every_page(spark, sf):
