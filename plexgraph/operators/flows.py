@@ -10,14 +10,20 @@ from plexgraph.session import settle
 DEPTH, BRANCH, SIZE = 6, 3, 25
 
 
+def surest(edges: DataFrame, most: int) -> DataFrame:
+    """(src, dst, confidence, r): the ``most`` surest edges of each node to other nodes, ranked from 1; ties by ``dst``."""
+    w = Window.partitionBy("src").orderBy(F.desc("confidence"), "dst")
+    once = edges.where("src <> dst").groupBy("src", "dst").agg(F.max("confidence").alias("confidence"))
+    return once.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
+
+
 def trace(edges: DataFrame, entries: DataFrame, depth: int = DEPTH, branch: int = BRANCH, size: int = SIZE) -> DataFrame:
     """(entry, steps): nodes in order of visit. Of a node's callees the ``branch`` surest new ones are followed.
 
     Only the ``size + branch`` surest edges of a node can matter, so a level has at most ``size`` times as many rows for
     each entry; the picks of a level, which depend on each other, are made over that bounded array.
     """
-    w = Window.partitionBy("src").orderBy(F.desc("confidence"), "dst")
-    best = settle(edges.where("src <> dst").groupBy("src", "dst").agg(F.max("confidence").alias("confidence")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= size + branch).select("src", "dst", "r"))
+    best = settle(surest(edges, size + branch).select("src", "dst", "r"))
     state = settle(entries.select("entry").distinct().select("entry", F.array("entry").alias("steps"), F.array("entry").alias("frontier")))
     for _ in range(depth):
         each = state.select("entry", F.posexplode("frontier").alias("k", "src")).join(best, "src")

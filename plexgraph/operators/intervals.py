@@ -35,9 +35,15 @@ def overlapping(spans: DataFrame, others: DataFrame) -> DataFrame:
 
 
 def next_within(points: DataFrame, marks: DataFrame, most: int) -> DataFrame:
-    """(point, mark, gap): the first mark (mark, key, pos) at or up to ``most`` behind each point; null if there is none."""
-    m = marks.select("key", F.col("mark"), F.col("pos").alias("at"))
-    hit = points.join(m, "key").where((F.col("at") >= F.col("pos")) & (F.col("at") <= F.col("pos") + most))
+    """(point, mark, gap): the first mark (mark, key, pos) at or up to ``most`` behind each point; null if there is none.
+
+    Positions are dealt into buckets of ``most`` + 1: a point looks into its own and the next one, so it meets the marks
+    near it and not all of its key's.
+    """
+    wide = most + 1
+    at = F.floor(F.col("pos") / wide)
+    m = marks.select("key", "mark", F.col("pos").alias("at"), at.alias("bucket"))
+    hit = points.withColumn("bucket", F.explode(F.array(at, at + 1))).join(m, ["key", "bucket"]).where((F.col("at") >= F.col("pos")) & (F.col("at") <= F.col("pos") + most))
     best = hit.groupBy("point").agg(F.min(F.struct("at", "mark", (F.col("at") - F.col("pos")).alias("gap"))).alias("b"))
     return points.select("point").distinct().join(best, "point", "left").select("point", F.col("b.mark").alias("mark"), F.col("b.gap").cast("long").alias("gap"))
 

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plexgraph.operators import changes, components, coupling, intervals, lookup, resolve, search, structure, traverse, urls
+from plexgraph.functions import text
+from plexgraph.operators import changes, components, coupling, deadcode, embedding, flows, incremental, intervals, lookup, resolve, search, structure, traverse, urls
 from plexgraph.plans.projections import NEXT_SQL, PATHS_SQL, TOGETHER_SQL, bought_together, day_changes, next_edges, order_changes, page_paths, part_nodes, trade_edges, trade_nodes
 from plexgraph.session import table
+from plexgraph.streaming import debounce
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -422,55 +424,86 @@ def tiered_resolution(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.tiered(refs, defs, imports)
 
 
-_DEAD_SQL = """li AS (SELECT l_partkey AS p, l_returnflag AS f FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1996-04-01'),
-seed AS (SELECT p_partkey FROM part WHERE p_size > 2 AND p_partkey NOT IN (SELECT p FROM li WHERE f = 'R'))"""
+def _symbols(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as methods of their brand's class, exported if small, and brands as classes that nothing uses; what ``deadcode`` reads."""
+    p = table(spark, sf, "part")
+    none = F.array().cast("array<string>")
+    rest = lambda exported: [F.lit("m.go").alias("file_path"), F.lit("go").alias("language"), F.lit("").alias("content"), F.lit(0).cast("long").alias("start_line"), F.lit(0).cast("long").alias("end_line"), F.lit(False).alias("is_entry_point"), exported.alias("is_exported"), none.alias("decorators"), none.alias("bases"), F.lit(False).alias("is_protocol")]
+    parts = p.select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), F.lit("method").alias("label"), F.col("p_name").alias("name"), F.col("p_brand").alias("class_name"), *rest(F.col("p_size") <= 2))
+    brands = p.select("p_brand").distinct().select(F.concat(F.lit("class:"), "p_brand").alias("id"), F.lit("class").alias("label"), F.col("p_brand").alias("name"), F.lit("").alias("class_name"), *rest(F.lit(False)))
+    return parts.union(brands)
+
 
+def _symbol_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Urgent orders call their parts; a brand extends the brand whose name follows it by one."""
+    o = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'").select("o_orderkey")
+    line = table(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    calls = line.select(F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("dst"), F.lit("calls").alias("rel_type"))
+    b = table(spark, sf, "part").select("p_brand").distinct()
+    up = b.select(F.col("p_brand").alias("a")).join(b, F.substring("a", 7, 1) == F.substring("p_brand", 7, 1)).where("a < p_brand")
+    return calls.union(up.select(F.concat(F.lit("class:"), "a"), F.concat(F.lit("class:"), "p_brand"), F.lit("extends")))
 
-def _dead_seed(spark: SparkSession, sf: str) -> DataFrame:
-    line = table(spark, sf, "lineitem").where((F.col("l_shipdate") >= _ntz("1996-01-01")) & (F.col("l_shipdate") < _ntz("1996-04-01")) & (F.col("l_returnflag") == "R"))
-    return table(spark, sf, "part").where("p_size > 2").join(line, F.col("p_partkey") == F.col("l_partkey"), "left_anti")
 
+_DEAD_SQL = """ca AS (SELECT DISTINCT l_partkey AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'),
+sd AS (SELECT p_partkey, p_brand, p_name FROM part WHERE p_size > 2 AND p_partkey NOT IN (SELECT p FROM ca))"""
 
-@query(f"WITH {_DEAD_SQL} SELECT p_partkey FROM seed")
+
+@query(f"WITH {_DEAD_SQL} SELECT 'part:' || p_partkey AS id FROM sd UNION ALL SELECT DISTINCT 'class:' || p_brand FROM part")
 def dead_nodes_seed(spark: SparkSession, sf: str) -> DataFrame:
-    return _dead_seed(spark, sf).select("p_partkey")
+    return deadcode.seed(_symbols(spark, sf), _symbol_edges(spark, sf))
 
 
-@query(
-    f"""WITH {_DEAD_SQL}, alive AS (SELECT * FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM seed))
-SELECT p.p_partkey FROM part p WHERE p.p_partkey IN (SELECT p_partkey FROM seed) AND NOT EXISTS (SELECT 1 FROM alive a WHERE a.p_brand = p.p_brand AND a.p_name = p.p_name)"""
-)
+_OVERRIDES_SQL = f"""{_DEAD_SQL}, al AS (SELECT p_brand, p_name FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM sd)),
+br AS (SELECT DISTINCT p_brand AS b FROM part), up AS (SELECT x.b AS c, y.b AS p FROM br x JOIN br y ON substr(x.b, 7, 1) = substr(y.b, 7, 1) AND x.b < y.b),
+ov AS (SELECT 'part:' || p_partkey AS id FROM sd WHERE EXISTS (SELECT 1 FROM up JOIN al ON al.p_brand = up.p AND al.p_name = sd.p_name WHERE up.c = sd.p_brand))"""
+
+
+@query(f"WITH {_OVERRIDES_SQL} SELECT id FROM ov")
+def dead_overrides(spark: SparkSession, sf: str) -> DataFrame:
+    """Dead methods that override a living one."""
+    nodes, edges = _symbols(spark, sf), _symbol_edges(spark, sf)
+    marks = deadcode.seed(nodes, edges).withColumn("dead", F.lit(True))
+    return deadcode.overrides(nodes.join(marks, "id", "left").withColumn("dead", F.coalesce("dead", F.lit(False))), edges).distinct()
+
+
+@query(f"WITH {_OVERRIDES_SQL} SELECT 'part:' || p_partkey AS id FROM sd WHERE 'part:' || p_partkey NOT IN (SELECT id FROM ov) UNION ALL SELECT DISTINCT 'class:' || p_brand FROM part")
 def dead_nodes_cleared(spark: SparkSession, sf: str) -> DataFrame:
-    seed = _dead_seed(spark, sf)
-    alive = table(spark, sf, "part").join(seed.select("p_partkey"), "p_partkey", "left_anti").select("p_brand", "p_name")
-    return seed.join(alive, ["p_brand", "p_name"], "left_anti").select("p_partkey")
+    """What all passes leave of the seed."""
+    return deadcode.dead(_symbols(spark, sf), _symbol_edges(spark, sf))
+
+
+@query(f"WITH {_DEAD_SQL}, k AS (SELECT p_partkey, p_brand FROM part WHERE p_size < 10) SELECT 'part:' || p_partkey AS id, p_partkey NOT IN (SELECT p FROM ca) AND p_partkey IN (SELECT p_partkey FROM part WHERE p_size > 2) AS is_dead FROM k")
+def dead_recount(spark: SparkSession, sf: str) -> DataFrame:
+    keys = table(spark, sf, "part").where("p_size < 10").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"))
+    return deadcode.recount(_symbols(spark, sf), _symbol_edges(spark, sf), keys)
 
 
 @query(
-    """WITH need AS (SELECT DISTINCT c_mktsegment AS s FROM customer), have AS (SELECT DISTINCT n_regionkey AS r, c_nationkey AS n, c_mktsegment AS s FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0)
-SELECT n AS nation, count(*) AS n_segments FROM have GROUP BY n HAVING count(*) = (SELECT count(*) FROM need)"""
+    """WITH need AS (SELECT DISTINCT c_mktsegment AS s FROM customer), have AS (SELECT DISTINCT c_nationkey AS n, c_mktsegment AS s FROM customer WHERE c_acctbal > 9000)
+SELECT 'method:' || n || ':' || s AS id FROM have WHERE n IN (SELECT n FROM have GROUP BY n HAVING count(*) = (SELECT count(*) FROM need))"""
 )
 def superset_division(spark: SparkSession, sf: str) -> DataFrame:
+    """Methods of the classes (nations with rich customers) that have all methods of a protocol (the segments)."""
     c = table(spark, sf, "customer")
-    need = c.select("c_mktsegment").distinct().agg(F.collect_set("c_mktsegment").alias("need"))
-    have = c.where("c_acctbal > 0").groupBy(F.col("c_nationkey").alias("nation")).agg(F.collect_set("c_mktsegment").alias("have"))
-    both = have.crossJoin(F.broadcast(need))  # one row
-    return both.where(F.size(F.array_except("need", "have")) == 0).select("nation", F.size("have").cast("long").alias("n_segments"))
+    row = lambda rows, label, cls, name, protocol: rows.select(F.concat_ws(":", F.lit(label), cls, name).alias("id"), F.lit(label).alias("label"), name.alias("name"), cls.alias("class_name"), F.lit(protocol).alias("is_protocol"), F.lit(True).alias("dead"))
+    have = c.where("c_acctbal > 9000").select("c_nationkey", "c_mktsegment").distinct()
+    n = row(have, "method", F.col("c_nationkey").cast("string"), F.col("c_mktsegment"), False)
+    n = n.union(row(c.select("c_mktsegment").distinct(), "method", F.lit("Segments"), F.col("c_mktsegment"), False)).union(row(spark.range(1), "class", F.lit(""), F.lit("Segments"), True))
+    return deadcode.conforming(n, n.limit(0)).where("id NOT LIKE 'method:Segments:%'")
 
 
-@query(f"WITH {NEXT_SQL} SELECT 'part:' || p_partkey AS id FROM part WHERE 'part:' || p_partkey NOT IN (SELECT dst FROM nx) AND ('part:' || p_partkey IN (SELECT src FROM nx) OR p_size = 1)")
+@query(
+    """WITH ca AS (SELECT DISTINCT l_partkey AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P')
+SELECT 'part:' || p_partkey AS id FROM part WHERE p_size <= 2 AND p_partkey NOT IN (SELECT p FROM ca)"""
+)
 def entry_points(spark: SparkSession, sf: str) -> DataFrame:
-    e = next_edges(spark, sf)
-    p = table(spark, sf, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), "p_size")
-    free = p.join(e.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
-    starts = e.select(F.col("src").alias("id"), F.lit(True).alias("starts")).distinct()
-    return free.join(starts, "id", "left").where("starts OR p_size = 1").select("id")
+    """Exported methods that nothing calls."""
+    return deadcode.entry_points(_symbols(spark, sf), _symbol_edges(spark, sf))
 
 
 @query(f"WITH {NEXT_SQL} SELECT src, dst, confidence FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY confidence DESC, dst) AS r FROM nx) WHERE r <= 3")
 def topk_out_edges(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("src").orderBy(F.desc("confidence"), "dst")
-    return next_edges(spark, sf).withColumn("r", F.row_number().over(w)).where("r <= 3").select("src", "dst", "confidence")
+    return flows.surest(next_edges(spark, sf), 3).select("src", "dst", "confidence")
 
 
 _SNAP_SQL = """b AS (SELECT l_partkey AS k, sum(l_quantity) AS q, count(*) AS n FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1996-04-01' GROUP BY 1), w AS (SELECT l_partkey AS k, sum(l_quantity) AS q, count(*) AS n FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-15' AND l_shipdate < TIMESTAMP '1996-04-15' GROUP BY 1)"""
@@ -548,13 +581,13 @@ def dependents_depth1(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_MANIFESTS_SQL}, r AS (SELECT count(*) FILTER (state <> 'unchanged') / count(*) AS ratio FROM md)
-SELECT round(ratio, 6) AS ratio, CASE WHEN ratio > 0.3 THEN 'file_ratio' WHEN ratio / 2 > 0.4 THEN 'symbol_ratio' ELSE 'incremental' END AS verdict FROM r"""
+    f"""WITH {_MANIFESTS_SQL}, r AS (SELECT count(*) FILTER (state <> 'unchanged') / count(*) AS ratio, count(*) FILTER (state = 'changed') / count(*) AS bodies FROM md)
+SELECT round(ratio, 6) AS ratio, CASE WHEN ratio > 0.3 THEN 'file_ratio' WHEN bodies > 0.4 THEN 'symbol_ratio' ELSE 'incremental' END AS verdict FROM r"""
 )
 def change_ratio_verdict(spark: SparkSession, sf: str) -> DataFrame:
-    r = manifest_diff(spark, sf).agg((F.count_if(F.col("state") != "unchanged") / F.count(F.lit(1))).alias("ratio"))
+    r = manifest_diff(spark, sf).agg((F.count_if(F.col("state") != "unchanged") / F.count(F.lit(1))).alias("ratio"), (F.count_if(F.col("state") == "changed") / F.count(F.lit(1))).alias("bodies"))
     yes = F.lit(True)
-    return r.select(F.round("ratio", 6).alias("ratio"), changes.verdict(yes, yes, yes, F.col("ratio"), F.col("ratio") / 2).alias("verdict"))
+    return r.select(F.round("ratio", 6).alias("ratio"), changes.verdict(yes, yes, yes, F.col("ratio"), F.col("bodies")).alias("verdict"))
 
 
 @query(
@@ -572,15 +605,51 @@ def delta_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return changes.apply_delta(nodes, edges, edges.limit(0), gone, changed.union(fresh), edges.limit(0))[0]
 
 
+_DELTA_SQL = """e0 AS (SELECT DISTINCT 'order:' || l_orderkey AS src, 'part:' || l_partkey AS dst, 'contains' AS rel_type FROM lineitem),
+gone AS (SELECT 'part:' || p_partkey AS id FROM part WHERE p_size > 40 UNION ALL SELECT 'order:' || o_orderkey FROM orders WHERE o_orderstatus = 'P'),
+out AS (SELECT DISTINCT 'order:' || l_orderkey AS src, 'part:' || l_partkey AS dst FROM lineitem WHERE l_returnflag = 'R')"""
+
+
+@query(
+    f"""WITH {_DELTA_SQL}, a AS (SELECT DISTINCT 'part:' || l_partkey AS src, 'order:' || l_orderkey AS dst, 'in' AS rel_type FROM lineitem WHERE l_returnflag = 'R')
+SELECT src, dst, rel_type FROM e0 WHERE NOT EXISTS (SELECT 1 FROM out WHERE out.src = e0.src AND out.dst = e0.dst) AND src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)
+UNION ALL SELECT * FROM a WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)"""
+)
+def delta_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """A delta's edges: some go by name, some with their nodes, some come, and those without both ends don't."""
+    line = table(spark, sf, "lineitem")
+    order, part = (F.concat(F.lit(f"{k}:"), F.col(c).cast("string")) for k, c in (("order", "l_orderkey"), ("part", "l_partkey")))
+    edges = line.select(order.alias("src"), part.alias("dst"), F.lit("contains").alias("rel_type")).distinct()
+    back = line.where("l_returnflag = 'R'").select(part.alias("src"), order.alias("dst"), F.lit("in").alias("rel_type")).distinct()
+    p = table(spark, sf, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), "p_size")
+    o = table(spark, sf, "orders").select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("id"), "o_orderstatus")
+    gone = p.where("p_size > 40").select("id").union(o.where("o_orderstatus = 'P'").select("id"))
+    named = line.where("l_returnflag = 'R'").select(order.alias("src"), part.alias("dst"), F.lit("contains").alias("rel_type")).distinct()
+    nodes = p.select("id").union(o.select("id"))
+    return changes.apply_delta(nodes, edges, named, gone, nodes.limit(0), back)[1]
+
+
+@query(
+    """WITH p AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/$', '') || '.py' AS path FROM pages WHERE url IS NOT NULL),
+b AS (SELECT page_id, string_split(regexp_replace(regexp_replace(path, '\\.[^./]+$', ''), '/(__init__|index)$', ''), '/') AS ps FROM p),
+t AS (SELECT page_id, unnest(list_transform(range(1, len(ps) + 1), lambda k: ps[k:len(ps)])) AS t FROM (SELECT page_id, ps, len(ps) AS n FROM b))
+SELECT DISTINCT page_id, name FROM (SELECT page_id, array_to_string(t, '/') AS name FROM t UNION ALL SELECT page_id, array_to_string(t, '.') FROM t)"""
+)
+def importable_names(spark: SparkSession, sf: str) -> DataFrame:
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", ""), "/$", "")
+    p = table(spark, sf, "pages").where("url IS NOT NULL").select("page_id", F.concat(bare, F.lit(".py")).alias("path"))
+    return p.select("page_id", F.explode(incremental.importable_names(F.col("path"))).alias("name"))
+
+
 @query(
     """WITH g AS (SELECT user_id, event_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT user_id, floor(epoch(min(ts)))::BIGINT AS first, floor(epoch(max(ts)))::BIGINT AS last, count(*) AS n FROM s GROUP BY user_id, k"""
 )
 def session_debounce(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    s = e.groupBy("user_id", F.session_window("ts", "6 hours")).agg(F.unix_seconds(F.min("ts")).alias("first"), F.unix_seconds(F.max("ts")).alias("last"), F.count(F.lit(1)).alias("n"))
-    return s.select("user_id", "first", "last", "n")
+    e = table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    s = debounce.quiet_sessions(e, "6 hours")
+    return s.select(F.col("key").alias("user_id"), F.unix_seconds("first").alias("first"), F.unix_seconds("last").alias("last"), "n")
 
 
 @query(
@@ -588,11 +657,12 @@ def session_debounce(spark: SparkSession, sf: str) -> DataFrame:
 SELECT new.id, old.id IS NOT NULL AS reused FROM new LEFT JOIN old ON new.id = old.id AND new.sha = old.sha"""
 )
 def embedding_reuse_partition(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    sha = lambda c: F.sha2(F.concat(F.lit("fast:"), c.cast("string")), 256)
-    old = e.where("id % 4 <> 0").select("id", sha(F.col("label")).alias("sha"), F.lit(True).alias("kept"))
-    new = e.select("id", sha(F.when(F.col("id") % 9 == 0, F.col("label") + 1).otherwise(F.col("label"))).alias("sha"))
-    return new.join(old, ["id", "sha"], "left").select("id", F.coalesce("kept", F.lit(False)).alias("reused"))
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vec"))
+    sha = F.sha2(F.concat(F.lit("fast:"), F.col("label").cast("string")), 256)
+    held = e.where("id % 4 <> 0").select("id", "vec", sha.alias("sha"))
+    wanted = e.select("id", F.when(F.col("id") % 9 == 0, F.col("label") + 1).otherwise(F.col("label")).cast("string").alias("text"))
+    kept, todo = embedding.stale(wanted, held, "fast")
+    return kept.select("id", F.lit(True).alias("reused")).union(todo.select("id", F.lit(False)))
 
 
 @query(
@@ -621,7 +691,7 @@ def word_overlap_recall(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id, greatest(1, length(text) // 4) AS n_tokens FROM documents")
 def token_count(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.greatest(F.lit(1).cast("long"), F.floor(F.length("text") / 4)).alias("n_tokens"))
+    return table(spark, sf, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("n_tokens"))
 
 
 @query(
@@ -634,13 +704,17 @@ def cross_community_flows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT l_orderkey AS owner, CASE WHEN count(DISTINCT p_brand) FILTER (p_size > 25) = 0 THEN 'none' WHEN count(DISTINCT p_brand) FILTER (p_size > 25) = 1 THEN 'intra' ELSE 'cross' END AS kind
-FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1"""
+    """SELECT 'process:' || l_orderkey || ':' AS id, count(DISTINCT l_partkey) AS step_count, CASE WHEN count(DISTINCT p_brand) FILTER (p_size > 25) = 0 THEN 'unknown' WHEN count(DISTINCT p_brand) FILTER (p_size > 25) = 1 THEN 'intra_community' ELSE 'cross_community' END AS kind
+FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey HAVING count(*) > 1"""
 )
 def flow_kind(spark: SparkSession, sf: str) -> DataFrame:
-    both = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    n = F.count_distinct(F.when(F.col("p_size") > 25, F.col("p_brand")))
-    return both.groupBy(F.col("l_orderkey").alias("owner")).agg(n.alias("n")).select("owner", F.when(F.col("n") == 0, "none").when(F.col("n") == 1, "intra").otherwise("cross").alias("kind"))
+    """Orders as flows over their parts, large parts' brands as communities."""
+    p, part = table(spark, sf, "part"), lambda c: F.concat(F.lit("part:"), F.col(c).cast("string"))
+    traced = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("entry")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", part("l_partkey").alias("id")))).alias("s"))
+    traced = traced.select("entry", F.transform("s", lambda x: x["id"]).alias("steps"))
+    nodes = p.select(part("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    members = p.where("p_size > 25").select(part("p_partkey").alias("node"), F.col("p_brand").alias("community"))
+    return flows.processes(traced, nodes, members)[0].select("id", "step_count", "kind")
 
 
 @query("SELECT l_partkey AS node, min(l_orderkey) AS owner FROM lineitem GROUP BY 1")
