@@ -339,6 +339,77 @@ def test_scores_against_brute_force(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)  # the model predicts unseen texts better
 
 
+def brute_score(model, subwords, text):
+    """log10 probability of a text, position by position, with loops over what each one attends to."""
+    p = {k: v.astype(float) for k, v in model["parameters"].items()}
+    ids = [i for w in lm.words_of(text) for i in subwords.ids(w)]
+    targets = [int(model["leaf"][i]) for i in ids] + [attention.END]
+    inputs = [attention.PAD] * attention.CELL + [attention.END] + targets[:-1]
+    total = sum(float(model["inside"][i]) for i in ids)
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    for t, y in enumerate(targets):
+        first = t // attention.SCORED * attention.SCORED  # the window's place; it ends with the input before the target
+        x = np.array([p["E"][inputs[first + j]] + p["P"][j] for j in range(t + attention.CELL - first + 1)])
+        q = x[-1] @ p["Q"] / math.sqrt(attention.WIDTH)
+        w = softmax(np.array([q @ (k @ p["K"]) for k in x]))
+        h0 = sum(a * (k @ p["V"]) for a, k in zip(w, x)) @ p["O"] + x[-1]
+        h = h0 + np.maximum(h0 @ p["A"] + p["a"], 0) @ p["B"]
+        c, leaf = divmod(y, attention.FAN)
+        total += math.log10(softmax(h @ p["C"] + p["c"])[c]) + math.log10(softmax(h @ p["L"][c] + p["l"][c])[leaf])
+    return total
+
+
+def test_a_score_is_that_of_the_model_by_brute_force(monkeypatch):
+    with open(lm.TOKENIZER, "rb") as f:
+        sub = lm.Subwords(f.read())
+    texts = ["the cat sat on the mat and the dog ran off " * 6, "", "one", "Some OTHER words, with marks; " * 4 + "zzyzx"]
+    frequency = Counter(i for t in texts for w in lm.words_of(t) for i in sub.ids(w))
+    frequency |= {i: 1 + i % 3 for i in range(1500)}
+    few = attention.train
+    monkeypatch.setattr(attention, "train", lambda t, mass, **_: few(t, mass, steps=30))
+    model = lm.fit(texts, sub, dict(frequency), len(texts))
+    table = lm.Leaves(sub, model["leaf"], model["inside"])
+    for t in texts:
+        sequence, extra = table.sequence(lm.words_of(t))
+        got = attention.scores(model["parameters"], [sequence])[0] / math.log(10) + extra
+        assert math.isclose(got, brute_score(model, sub, t), rel_tol=1e-3, abs_tol=1e-3)
+
+
+def test_pieces_come_from_all_of_a_text(spark):
+    long = " ".join(f"w{i}" for i in range(20_000))
+    d = spark.createDataFrame([(1, "short text"), (2, long), (3, None), (None, "x" * 40_000)], "doc_id long, text string")
+    rows = lm.pieces(d, "doc_id", "text").collect()
+    assert len(rows) == 1 + -(-len(long) // lm.STRETCH) + 1 + 3
+    assert sum(len(r["stretch"]) for r in rows) == len("short text") + len(long) + 40_000
+    for r in rows:
+        piece = lm.piece_of(r["stretch"], r["h"])
+        assert piece in r["stretch"] and len(piece) <= lm.PIECE and (len(r["stretch"]) > lm.PIECE or piece == r["stretch"])
+        if "w1" in piece and len(r["stretch"]) > lm.PIECE:
+            assert set(piece.split()) <= set(long.split())
+
+
+def test_refined_models_are_the_mean_of_the_tasks(spark, monkeypatch):
+    with open(lm.TOKENIZER, "rb") as f:
+        raw = f.read()
+    sub = lm.Subwords(raw)
+    leaf, inside, mass = lm.leaves({i: 50 - i % 50 for i in range(3000)}, 5, 50_256)
+    model = {"leaf": leaf, "inside": inside, "parameters": attention.initial(mass)}
+    monkeypatch.setattr(lm, "ROUNDS", 1)
+    texts = [" ".join(f"word{(i * 7 + k) % 90}" for i in range(60 + k)) for k in range(6)]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "h long, stretch string").repartitionByRange(3, "h")
+    parts = [[] for _ in range(3)]
+    for r in d.selectExpr("spark_partition_id() AS p", "h", "stretch").collect():
+        parts[r["p"]].append((r["h"], r["stretch"]))
+    got = lm.refined(model, d, spark.sparkContext.broadcast(raw))["parameters"]
+    table, total, want = lm.Leaves(sub, leaf, inside), 0, {}
+    for rows in filter(None, parts):
+        p, n = attention.refine(model["parameters"], [[table.sequence(lm.words_of(lm.piece_of(t, h)))[0] for h, t in rows]], lm.RATE)
+        total += n
+        want = {k: want.get(k, 0) + v.astype(float) * n for k, v in p.items()}
+    assert all(np.allclose(got[k], want[k] / total, atol=1e-5) for k in want) and not np.allclose(got["C"], model["parameters"]["C"])
+    assert lm.refined(model, d.limit(0), spark.sparkContext.broadcast(raw)) is model
+
+
 def test_scores_of_odd_rows(odd, none, monkeypatch):
     monkeypatch.setattr(lm, "SAMPLE", 3)
     monkeypatch.setattr(attention, "train", lambda texts, mass, **_: attention.initial(mass))
