@@ -40,6 +40,7 @@ def _in_one_task(batches: Iterable[pd.DataFrame], min_size: int) -> Iterator[pd.
     order: dict[str, int] = {}
     low: dict[str, int] = {}
     stack: list[str] = []
+    place: dict[str, int] = {}
     on: set[str] = set()
     rows: list[tuple[str, str]] = []
     for start in after:
@@ -47,6 +48,7 @@ def _in_one_task(batches: Iterable[pd.DataFrame], min_size: int) -> Iterator[pd.
             continue
         work = [(start, iter(after.get(start, ())))]
         order[start] = low[start] = len(order)
+        place[start] = len(stack)
         stack.append(start)
         on.add(start)
         while work:
@@ -54,6 +56,7 @@ def _in_one_task(batches: Iterable[pd.DataFrame], min_size: int) -> Iterator[pd.
             for n in rest:
                 if n not in order:
                     order[n] = low[n] = len(order)
+                    place[n] = len(stack)
                     stack.append(n)
                     on.add(n)
                     work.append((n, iter(after.get(n, ()))))
@@ -65,7 +68,7 @@ def _in_one_task(batches: Iterable[pd.DataFrame], min_size: int) -> Iterator[pd.
                 if work:
                     low[work[-1][0]] = min(low[work[-1][0]], low[node])
                 if low[node] == order[node]:
-                    k = stack.index(node)
+                    k = place[node]
                     group = stack[k:]
                     del stack[k:]
                     on.difference_update(group)

@@ -71,6 +71,22 @@ class Tools:
             out = out.union(rows.join(names, "id").select("kind", "id", "name"))
         return out
 
+    def file_communities(self, path: str) -> DataFrame:
+        """(community, name, n): communities of a file's symbols, those with most of them first."""
+        own = self.nodes.where(F.col("file_path") == path).select(F.col("id").alias("src"))
+        n = self.edges.where("rel_type = 'member_of'").join(own, "src", "left_semi").groupBy(F.col("dst").alias("community")).agg(F.count(F.lit(1)).alias("n"))
+        return n.join(self.nodes.select(F.col("id").alias("community"), "name"), "community", "left").select("community", "name", "n").orderBy(F.desc("n"), "community")
+
+    def near(self, name: str, focus_files: list[str], direction: str = "out") -> DataFrame:
+        """(id, name, confidence, rank): callees or callers of a symbol, those nearest to the focus files by PageRank first, then the surest."""
+        here, there = ("src", "dst") if direction == "out" else ("dst", "src")
+        rows = self.calls.where(F.col(here) == self.resolve(name)).groupBy(F.col(there).alias("id")).agg(F.max("confidence").alias("confidence"))
+        focus = self.nodes.where(F.col("file_path").isin(focus_files)).select(F.col("id").alias("node"))
+        links = self.edges.where("rel_type IN ('calls', 'imports', 'uses_type')").select("src", "dst")
+        ranks = components.pagerank(links, focus).withColumnRenamed("node", "id")
+        shown = rows.join(ranks, "id", "left").join(self.nodes.select("id", "name"), "id")
+        return shown.select("id", "name", "confidence", F.coalesce("rank", F.lit(0.0)).alias("rank")).orderBy(F.desc("rank"), F.desc("confidence"), "id")
+
     def explain(self, name: str) -> DataFrame:
         """One row about a symbol: its place, marks, and numbers of callers and callees."""
         node = self.resolve(name)

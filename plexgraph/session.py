@@ -28,17 +28,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the cluster; a temporary folder where it is unset, as in tests."""
+    """``spark.checkpoint.dir`` of the cluster; in local mode, as in tests, a temporary folder where it is unset."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='plexgraph-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that loops keep short plans and known sizes."""
+    """Write ``df`` to the shared folder and read it back, so that loops keep short plans and known sizes. What is written goes
+    when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

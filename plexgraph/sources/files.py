@@ -142,6 +142,18 @@ def content_at(repo: str, ref: str, path: str, timeout: int = 30) -> str | None:
     return run.stdout.decode("utf-8", "replace") if run.returncode == 0 else None
 
 
+def work_tree(repo: str, path: str) -> str | None:
+    """A file's content as it stands in the work tree; null if it isn't there."""
+    file = Path(repo, path)
+    return file.read_text("utf-8", "replace") if file.is_file() else None
+
+
+def paths_at(repo: str, ref: str, timeout: int = 30) -> list[str]:
+    """Paths of all files at a ref."""
+    out = subprocess.run(["git", "ls-tree", "-r", "-z", "--name-only", ref], cwd=repo, capture_output=True, timeout=timeout, check=True).stdout
+    return sorted(p for p in out.decode("utf-8", "replace").split("\0") if p)
+
+
 def registry(spark: SparkSession, folder: str) -> DataFrame:
     """(name, path, stats): one row for each ``<name>/meta.json`` of a registry folder."""
     meta = spark.read.option("multiLine", "true").schema("name string, path string, last_indexed_at string, stats map<string,bigint>").json(f"{folder}/*/meta.json")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 _MASKS = {
@@ -38,8 +39,14 @@ def closing(text: str, at: int, pair: str = "{}") -> int:
     return len(text) - 1
 
 
+@functools.lru_cache(maxsize=2)
+def _lines(content: str) -> list[str]:
+    """The lines of the file that is being read, cut once for all its symbols."""
+    return content.split("\n")
+
+
 def symbol(name: str, kind: str, start: int, end: int, content: str, signature: str, class_name: str = "", decorators: list[str] | None = None) -> dict:
-    lines = content.split("\n")
+    lines = _lines(content)
     return {"name": name, "kind": kind, "start_line": start, "end_line": end, "content": "\n".join(lines[start - 1 : end]), "signature": " ".join(signature.split()), "class_name": class_name, "decorators": decorators or []}
 
 

@@ -17,14 +17,18 @@ def _fs(spark: SparkSession, path: str):
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file at once: to a sibling first, then by rename."""
+    """Write a small file at once: to a sibling first, then by a rename that replaces the old one, so a reader always sees one."""
     fs, target = _fs(spark, path)
     temporary = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
     out = fs.create(temporary, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(target, False)
-    fs.rename(temporary, target)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    target = fs.makeQualified(target)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(fs.makeQualified(temporary), target, how)
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:

@@ -3,6 +3,7 @@ import subprocess
 from pyspark.sql import functions as F
 
 from plexgraph.operators import incremental
+from plexgraph.plans import branches
 from plexgraph.plans.analyze import analyze
 from plexgraph.plans.tools import Tools
 from plexgraph.sources import files, store
@@ -130,6 +131,31 @@ def test_repository_scan_log_and_diff(spark, tmp_path):
     assert files.git_log(spark, str(tmp_path / "nowhere")).count() == 0
 
 
+def test_differences_between_refs(spark, tmp_path):
+    git = lambda *a: subprocess.run(["git", "-c", "user.name=a", "-c", "user.email=a@b", *a], cwd=tmp_path, check=True, capture_output=True)
+    git("init", "-q")
+    (tmp_path / "a.py").write_text("import os\n\n\ndef load():\n    return digest()\n\n\ndef digest():\n    return 1\n\n\ndef old():\n    return 2\n")
+    (tmp_path / "b.py").write_text("def far():\n    return load()\n\n\ndef twice():\n    return 1\n")
+    (tmp_path / "c.py").write_text("def twice():\n    return 2\n")
+    git("add", ".")
+    git("commit", "-qm", "one")
+    (tmp_path / "a.py").write_text("import sys\n\n\ndef load():\n    return fresh()\n\n\ndef digest():\n    return 3\n\n\ndef fresh():\n    return twice()\n")
+    git("commit", "-qam", "two")
+    (tmp_path / "b.py").write_text("def far():\n    return fresh()\n\n\ndef twice():\n    return 1\n")
+    d = branches.scoped(spark, str(tmp_path), "HEAD~1", "HEAD")
+    assert {(r["name"], r["change"]) for r in d.nodes.collect()} == {("load", "modified"), ("digest", "modified"), ("old", "removed"), ("fresh", "added")}
+    edges = {(r["rel_type"], r["src"], r["dst"], r["change"]) for r in d.edges.collect()}
+    f = "function:a.py:"
+    assert edges == {("imports", "file:a.py:", "os", "removed"), ("imports", "file:a.py:", "sys", "added"), ("calls", f + "load", f + "digest", "removed"), ("calls", f + "load", f + "fresh", "added")}
+    assert "added symbols: 1\n  function fresh (a.py)" in d.listing() and "and 1 more" in d.listing(most=1)
+    tree = branches.scoped(spark, str(tmp_path), "HEAD")  # the work tree: b.py alone has changed, so fresh is out of sight
+    assert {(r["name"], r["change"]) for r in tree.nodes.collect()} == {("far", "modified")} and tree.edges.count() == 0
+    whole = branches.full(spark, str(tmp_path), "HEAD")
+    calls = {(r["src"], r["dst"], r["change"]) for r in whole.edges.where("rel_type = 'calls'").collect()}
+    assert calls == {("function:b.py:far", f + "load", "removed"), ("function:b.py:far", f + "fresh", "added")}
+    assert branches.scoped(spark, str(tmp_path), "HEAD~1", "HEAD~1").listing() == "no structural changes"
+
+
 def test_ignore_patterns(spark):
     paths = ["a/node_modules/x.js", "a.min.js", "src/a.js", "out/gen/x.py", "x/out/y.py", "k.log"]
     d = spark.createDataFrame([(p,) for p in paths], "p string")
