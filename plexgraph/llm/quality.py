@@ -4,9 +4,10 @@ Each rule compares one measure of a text with a cutoff from a ladder; all rules
 be used in a stratum (a language) only if the labelled good documents there show, by an exact binomial test, that its rules
 together reject at most a share ``risk`` of the good ones. The steps are tested from the lenient end, up to the first that
 fails: a fixed sequence, whose tests need no correction among themselves (stricter steps reject more, so none behind it
-passes). The strata share the error ``delta`` evenly (Bonferroni). The last step that passes is used. So with probability
-1 - delta the rules reject at most a share ``risk`` of the good documents of every stratum. A stratum with too few labels
-gets no cutoffs and rejects nothing.
+passes). The strata share the error ``delta`` by their numbers of trials, which don't depend on outcomes (weighted
+Bonferroni). The last step that passes is used. So with probability 1 - delta the rules reject at most a share ``risk`` of the
+good documents of every stratum that pass the base rule, which goes first and has no cutoff to choose. A stratum with too few
+labels gets no cutoffs and rejects nothing.
 """
 
 from __future__ import annotations
@@ -117,13 +118,14 @@ def cutoffs(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", good_col
     """(stratum, one double for each rule): the strictest step that is safe there, nulls if none is.
 
     A document is good if every label row of its id says 1; null labels are no labels. Repeated rows of a document are
-    repeated trials of the same kind, so they count once.
+    repeated trials of the same kind, so they count once. What the base rule rejects is no trial.
     """
     good = labels.where(F.col(id_col).isNotNull() & F.col(good_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(good_col).alias("q")).where("q = 1")
-    trials = rows.join(good, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    trials = rows.where(~base_failed(F.col)).join(good, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     rejects = [F.exists(F.array(*[m(F.col) > F.lit(ladder[j]) for m, ladder in RULES.values()]), lambda x: x) for j in range(STEPS)]
     seen = settled(trials.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(x).alias(f"x_{j}") for j, x in enumerate(rejects)]))
-    allowed = seen.withColumn("k", _most_errors(F.col("n"), risk, F.lit(delta) / F.lit(max(1, seen.count()))))
+    total = seen.agg(F.sum("n")).first()[0] or 1
+    allowed = seen.withColumn("k", _most_errors(F.col("n"), risk, F.lit(delta) * F.col("n") / F.lit(total)))
     step = F.coalesce(*[F.when(F.col(f"x_{j}") <= F.col("k"), F.lit(j)) for j in range(STEPS)])
     cut = lambda ladder: F.get(F.array(*[F.lit(float(c)) for c in ladder]), F.col("step"))
     return allowed.withColumn("step", step).select("stratum", *[cut(ladder).alias(r) for r, (_, ladder) in RULES.items()])

@@ -40,10 +40,10 @@ ln AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_mat
 m AS (SELECT a.doc_id, stratum, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[ \\t\\n\\x0b\\x0c\\r]', '', 'g'))::BIGINT AS word_chars, (length(t) - length(translate(t, '{quality.SYMBOLS}', '')))::BIGINT AS n_symbols,
 len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rp.n, 0)::BIGINT AS n_repeat_words FROM a JOIN ln ON a.doc_id = ln.doc_id LEFT JOIN rp ON a.doc_id = rp.doc_id),
 gd AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-se AS (SELECT stratum, count(*) AS n, {seen} FROM m WHERE doc_id IN (SELECT doc_id FROM gd) GROUP BY stratum),
+se AS (SELECT stratum, count(*) AS n, {seen} FROM m WHERE doc_id IN (SELECT doc_id FROM gd) AND NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) GROUP BY stratum),
 tm AS (SELECT stratum, n, i, CASE WHEN i = 0 THEN n * ln(1 - {rate}) ELSE ln((n - i + 1) / i) + ln({rate} / (1 - {rate})) END AS step FROM (SELECT stratum, n, unnest(range(0, 1 + greatest(1, ceil(n * {rate}))::BIGINT)) AS i FROM se)),
 cd AS (SELECT stratum, i, sum(exp(term)) OVER (PARTITION BY stratum ORDER BY i) AS cdf FROM (SELECT stratum, i, sum(step) OVER (PARTITION BY stratum ORDER BY i) AS term FROM tm)),
-km AS (SELECT se.*, coalesce((SELECT max(i) FROM cd WHERE cd.stratum = se.stratum AND cdf <= {quality.DELTA} / ((SELECT count(*) FROM se))), -1) AS k FROM se), ct AS (SELECT stratum, {cuts} FROM km)
+km AS (SELECT se.*, coalesce((SELECT max(i) FROM cd WHERE cd.stratum = se.stratum AND cdf <= {quality.DELTA} * se.n / (SELECT sum(n) FROM se)), -1) AS k FROM se), ct AS (SELECT stratum, {cuts} FROM km)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT ({bad}) AS kept FROM m LEFT JOIN ct ON m.stratum = ct.stratum"""
 
