@@ -1,22 +1,21 @@
 """Components of things that are linked when they are near, found bucket by bucket without making all pairs of a family.
 
 A bucket has homes and visitors; what is near shares a bucket in which one of the two is a home. First each bucket's members
-meet ``CENTRES`` homes of it. Then pairs are made only between members of different components, and never within the largest
-component of a bucket. So a large family costs what its members cost, and no link between different components is lost.
+meet its centre: the home that has most mates in all its buckets. The original of a family of copies is that in nearly all
+buckets of the family, while two copies may be too far from each other; so the family falls into one component at once. Then
+pairs are made only between members of different components, and never within the largest component of a bucket. So a large
+family costs what its members cost, and no link between different components is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plexgraph.llm.common import counted, forget, settled
 
-#: Homes of a bucket that all its members meet first.
-CENTRES = 2
-
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for each end of an edge (a, b): root is the smallest node of its component.
@@ -49,25 +48,30 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def families(grid: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def families(grid: DataFrame, near: Callable[[DataFrame], DataFrame], sketches: DataFrame | None = None, alike: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(node, root) of the nodes that are linked with others: root is the smallest node of the component.
 
-    ``grid`` has columns (bucket, node, home); ``near`` keeps of pairs (a, b) those that are linked.
+    ``grid`` has columns (bucket, node, home); ``near`` keeps of pairs (a, b) those that are linked. With ``sketches`` (node,
+    sketch), pairs of members of different components are made only if their sketches are ``alike``.
     """
-    shared = grid.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("homes")).where("n > 1 AND homes > 0").select("bucket")
+    shared = grid.groupBy("bucket").agg(F.count(F.lit(1)).alias("mates"), F.count_if("home").alias("homes")).where("mates > 1 AND homes > 0").select("bucket", "mates")
     members = settled(grid.join(shared, "bucket"))
-    by_hash = lambda k: F.min_by("node", F.when(F.col("home"), F.xxhash64("node", F.lit(k))))
-    centres = members.groupBy("bucket").agg(F.array_distinct(F.array(*[by_hash(k) for k in range(CENTRES)])).alias("centres"))
-    stars = members.join(centres, "bucket").select("node", F.explode("centres").alias("centre")).where("node != centre")
+    central = members.groupBy("node").agg(F.sum("mates").alias("central"))
+    ranked = members.join(central, "node")
+    centre = ranked.groupBy("bucket").agg(F.max_by("node", F.when(F.col("home"), F.struct("central", F.xxhash64("node")))).alias("centre"))
+    stars = members.join(centre, "bucket").where("node != centre")
     edges, (n,) = counted(near(_ordered(stars.select(F.col("centre").alias("a"), F.col("node").alias("b")))))
     roots = settled(components(edges).distinct()) if n else None
     now = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if n else members.withColumn("root", F.col("node"))
     sizes = now.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     several = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", "n").alias("most")).where("roots > 1").select("bucket", "most")
     told = settled(now.join(several, "bucket").withColumn("main", F.col("root") == F.col("most")))
-    one = told.where("home").select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("main").alias("ma"))
-    other = told.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("main").alias("mb"))
-    apart = one.where("NOT ma").join(other, "bucket").union(one.where("ma").join(other.where("NOT mb"), "bucket")).where("ra != rb")
+    drawn = told.withColumn("sketch", F.lit(0)) if sketches is None else told.join(sketches, "node")
+    one = drawn.where("home").select(F.col("bucket").alias("of"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("main").alias("ma"), F.col("sketch").alias("sa"))
+    other = drawn.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("main").alias("mb"), F.col("sketch").alias("sb"))
+    meet = (F.col("of") == F.col("bucket")) & (F.col("ra") != F.col("rb"))
+    meet = meet & alike(F.col("sa"), F.col("sb")) if alike else meet
+    apart = one.where("NOT ma").join(other, meet).union(one.where("ma").join(other.where("NOT mb"), meet))
     more, (m,) = counted(near(_ordered(apart)))
     forget(members, told)
     if not m:
