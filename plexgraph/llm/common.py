@@ -83,18 +83,27 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*[df[f"`{f.name.replace('`', '``')}`"] for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()])
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that grows with the input: it is never broadcast.
+
+    Spark broadcasts what is small as a file, and ids and hashes take ten times as much in the driver's memory.
+    """
+    return df.hint("merge")
+
+
 #: Keys that hold more than one in so many rows each; there are no more of them than that, whatever the data.
 OFTEN = 10_000
 
 
-def spread_join(rows: DataFrame, lookup: DataFrame, key: str, count: str, total: int) -> DataFrame:
+def spread_join(rows: DataFrame, lookup: DataFrame, key: str, count: str, total: int, by_shuffle: bool = False) -> DataFrame:
     """``rows`` inner-joined with ``lookup``, which has each key once and in ``count`` the number of its rows of ``total``.
 
     Keys of more than 1 in ``OFTEN`` rows, at most ``OFTEN`` of them, meet their rows by broadcast, the others by shuffle; so
-    no task gets a hot key's rows.
+    no task gets a hot key's rows. With ``by_shuffle`` Spark doesn't broadcast the others where it takes them for small.
     """
     often = F.broadcast(lookup.where(F.col(count) * OFTEN > total).drop(count))
     seldom = lookup.where(F.col(count) * OFTEN <= total).drop(count)
+    seldom = shuffled(seldom) if by_shuffle else seldom
     return rows.join(often, key).unionByName(rows.join(often.select(key), key, "left_anti").join(seldom, key))
 
 

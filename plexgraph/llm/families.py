@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plexgraph.llm.common import counted, forget, settled
+from plexgraph.llm.common import counted, forget, settled, shuffled
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -27,10 +27,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+        large = both.join(shuffled(least), "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
         # From here each edge points from the larger node b to the smaller node a.
         least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b")
+        small = large.join(shuffled(least), "b")
         small = small.select(F.col("m").alias("a"), F.col("a").alias("b")).union(small.select(F.col("m").alias("a"), "b"))
         new, mark = counted(small.where("a < b").distinct(), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
         forget(now)
@@ -55,23 +55,23 @@ def families(grid: DataFrame, near: Callable[[DataFrame], DataFrame], sketches:
     sketch), pairs of members of different components are made only if their sketches are ``alike``.
     """
     shared = grid.groupBy("bucket").agg(F.count(F.lit(1)).alias("mates"), F.count_if("home").alias("homes")).where("mates > 1 AND homes > 0").select("bucket", "mates")
-    members = settled(grid.join(shared, "bucket"))
+    members = settled(grid.join(shuffled(shared), "bucket"))
     central = members.groupBy("node").agg(F.sum("mates").alias("central"))
-    ranked = members.join(central, "node")
+    ranked = members.join(shuffled(central), "node")
     centre = ranked.groupBy("bucket").agg(F.max_by("node", F.when(F.col("home"), F.struct("central", F.xxhash64("node")))).alias("centre"))
-    stars = members.join(centre, "bucket").where("node != centre")
+    stars = members.join(shuffled(centre), "bucket").where("node != centre")
     edges, (n,) = counted(near(_ordered(stars.select(F.col("centre").alias("a"), F.col("node").alias("b")))))
     roots = settled(components(edges).distinct()) if n else None
-    now = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if n else members.withColumn("root", F.col("node"))
+    now = members.join(shuffled(roots), "node", "left").withColumn("root", F.coalesce("root", "node")) if n else members.withColumn("root", F.col("node"))
     sizes = now.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     several = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", "n").alias("most")).where("roots > 1").select("bucket", "most")
-    told = settled(now.join(several, "bucket").withColumn("main", F.col("root") == F.col("most")))
-    drawn = told.withColumn("sketch", F.lit(0)) if sketches is None else told.join(sketches, "node")
+    told = settled(now.join(shuffled(several), "bucket").withColumn("main", F.col("root") == F.col("most")))
+    drawn = told.withColumn("sketch", F.lit(0)) if sketches is None else told.join(shuffled(sketches), "node")
     one = drawn.where("home").select(F.col("bucket").alias("of"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("main").alias("ma"), F.col("sketch").alias("sa"))
     other = drawn.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("main").alias("mb"), F.col("sketch").alias("sb"))
     meet = (F.col("of") == F.col("bucket")) & (F.col("ra") != F.col("rb"))
     meet = meet & alike(F.col("sa"), F.col("sb")) if alike else meet
-    apart = one.where("NOT ma").join(other, meet).union(one.where("ma").join(other.where("NOT mb"), meet))
+    apart = one.where("NOT ma").join(shuffled(other), meet).union(one.where("ma").join(shuffled(other.where("NOT mb")), meet))
     more, (m,) = counted(near(_ordered(apart)))
     forget(members, told)
     if not m:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plexgraph.llm.common import bounded_batches, free_name, row_hash, settled, spread_join
+from plexgraph.llm.common import bounded_batches, free_name, row_hash, settled, shuffled, spread_join
 from plexgraph.llm.families import families, id_of, node_key
 
 SEED = 42
@@ -135,9 +135,9 @@ def _rooted(rows: DataFrame, distance: int) -> DataFrame:
     distinct = settled(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).select("fp", "n", node.alias("node")))
     near = lambda pairs: pairs.where(_close(F.col("a.fp"), F.col("b.fp"), distance))
     found = families(_grid(distinct.select("node", F.col("fp")), distance).select("node", "bucket", "home"), near)
-    named = settled(distinct.join(found.select(F.col("node.fp").alias("fp"), "root"), "fp", "left").select("fp", "n", F.coalesce("root", "node").alias("root")))
+    named = settled(distinct.join(shuffled(found.select(F.col("node.fp").alias("fp"), "root")), "fp", "left").select("fp", "n", F.coalesce("root", "node").alias("root")))
     total = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return spread_join(rows, named, "fp", "n", total)
+    return spread_join(rows, named, "fp", "n", total, by_shuffle=True)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3) -> DataFrame:

@@ -93,6 +93,28 @@ def test_a_dense_family_is_one_component(spark):
     assert {r["doc_id"]: r["root"] for r in grouped} == want
 
 
+def test_what_grows_with_the_input_is_not_broadcast(spark, monkeypatch):
+    plans = []
+
+    def noted(f):
+        def run(df, *a):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return f(df, *a)
+
+        return run
+
+    for module in (families, simhash):
+        for name in ("settled", "counted"):
+            if hasattr(module, name):
+                monkeypatch.setattr(module, name, noted(getattr(module, name)))
+    rng = random.Random(6)
+    fps = [s ^ (1 << rng.randrange(64)) for s in (rng.getrandbits(64) for _ in range(20)) for _ in range(10)]
+    d = spark.createDataFrame([(k, simhash._signed(f)) for k, f in enumerate(fps)], "doc_id long, fp long")
+    got = {r["doc_id"]: r["root"] for r in simhash._rooted(d, 3).select("doc_id", F.col("root.id").alias("root")).collect()}
+    assert got == dict(brute_components(list(enumerate(fps))))
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
 def brute_similar(texts):
     """id -> smallest id reachable by links of 0.8 between sets of five-word shingles, and the links."""
     sets = {}
