@@ -48,11 +48,11 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def families(grid: DataFrame, near: Callable[[DataFrame], DataFrame], sketches: DataFrame | None = None, alike: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def families(grid: DataFrame, near: Callable[[DataFrame], DataFrame], sketches: Callable[[DataFrame], DataFrame] | None = None, alike: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(node, root) of the nodes that are linked with others: root is the smallest node of the component.
 
-    ``grid`` has columns (bucket, node, home); ``near`` keeps of pairs (a, b) those that are linked. With ``sketches`` (node,
-    sketch), pairs of members of different components are made only if their sketches are ``alike``.
+    ``grid`` has columns (bucket, node, home); ``near`` keeps of pairs (a, b) those that are linked. ``sketches`` makes (node,
+    sketch) of the nodes that are left after the first step; they form pairs only if their sketches are ``alike``.
     """
     shared = grid.groupBy("bucket").agg(F.count(F.lit(1)).alias("mates"), F.count_if("home").alias("homes")).where("mates > 1 AND homes > 0").select("bucket", "mates")
     members = settled(grid.join(shuffled(shared), "bucket"))
@@ -66,7 +66,7 @@ def families(grid: DataFrame, near: Callable[[DataFrame], DataFrame], sketches:
     sizes = now.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     several = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", "n").alias("most")).where("roots > 1").select("bucket", "most")
     told = settled(now.join(shuffled(several), "bucket").withColumn("main", F.col("root") == F.col("most")))
-    drawn = told.withColumn("sketch", F.lit(0)) if sketches is None else told.join(shuffled(sketches), "node")
+    drawn = told.withColumn("sketch", F.lit(0)) if sketches is None else told.join(shuffled(sketches(told.select("node").distinct())), "node")
     one = drawn.where("home").select(F.col("bucket").alias("of"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("main").alias("ma"), F.col("sketch").alias("sa"))
     other = drawn.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("main").alias("mb"), F.col("sketch").alias("sb"))
     meet = (F.col("of") == F.col("bucket")) & (F.col("ra") != F.col("rb"))

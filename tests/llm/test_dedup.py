@@ -167,6 +167,50 @@ def test_a_large_group_of_near_copies_and_odd_rows(spark, odd, none):
     assert similar.groups(none).count() == 0 and similar.keep_one(none).count() == 0
 
 
+def test_copies_that_differ_too_much_form_few_pairs_and_lose_no_link(spark, monkeypatch):
+    rng, sizes, families_of = random.Random(8), [], similar.families
+
+    def noted(grid, near, *a):
+        def counting(pairs):
+            sizes.append(pairs.count())
+            return near(pairs)
+
+        return families_of(grid, counting, *a)
+
+    monkeypatch.setattr(similar, "families", noted)
+    base, texts = [f"w{i}" for i in range(150)], {}
+    for k in range(200):
+        words = list(base)
+        for _ in range(5):
+            words[rng.randrange(150)] = f"x{rng.randrange(5000)}"
+        texts[2 * k] = " ".join(words)
+        if k % 20 == 0:  # a link outside of the base's component
+            texts[2 * k + 1] = f"{texts[2 * k]} end"
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in similar.groups(d).collect()}
+    root, linked = brute_similar(texts)
+    assert got == root and len(linked) > 5 and len(set(root.values())) > 100
+    assert sizes[1] < 300
+
+
+def test_parities_bound_the_similarity(spark):
+    import numpy as np
+
+    rng, rows = np.random.default_rng(5), []
+    for n in (1, 9, 10, 45, 90, 900, 5000):
+        for other in {0, 1, n // 9, n // 8, n // 5, n // 2}:
+            x = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+            y = np.unique(np.concatenate([x[: len(x) - other // 2], rng.integers(0, 1 << 64, other - other // 2, dtype=np.uint64)]))
+            both = len(np.intersect1d(x, y))
+            cell = lambda z: (similar.signature(z)[similar.BANDS + similar.SKETCH :].tolist(), len(z))
+            if len(y):
+                rows.append((cell(x), cell(y), both / (len(x) + len(y) - both)))
+    kind = "struct<odd:array<long>,size:int>"
+    got = spark.createDataFrame(rows, f"a {kind}, b {kind}, j double").select("j", similar.possible(F.col("a"), F.col("b"), 0.8).alias("possible")).collect()
+    assert all(r["possible"] for r in got if r["j"] >= 0.8) and any(r["possible"] for r in got)
+    assert any(not r["possible"] for r in got)
+
+
 def brute_hits(text, items, size=10):
     words = decontam.words_of(text)
     hit, found = set(), set()
