@@ -5,10 +5,9 @@ rest of a document's words meet their counts in a join by word, as rows that hol
 the table of distinct words, each cut once, so they too cover the corpus.
 
 The model is fitted in two steps, for which each training text of any length is cut in stretches of ``STRETCH`` characters.
-One task fits a first model to at most ``SAMPLE`` stretches. Then ``ROUNDS`` passes refine it over the corpus: a piece of one in
-``ONE_IN`` stretches (by hash) is learned from, each in one of the rounds; every task takes steps from the common model over
-its own pieces, and the models are averaged by their windows. So what the model learns from grows with the input, and
-long texts count by their length. Every text is scored whole.
+One task fits starting weights to at most ``SAMPLE`` stretches. Then the model learns from all stretches, each whole and in one of
+``ROUNDS`` passes: every task takes steps from the common model over its own stretches, and the models are averaged by their
+windows. So all training text teaches the model, and long texts count by their length. Every text is scored whole.
 """
 
 from __future__ import annotations
@@ -28,14 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plexgraph.llm import attention
-from plexgraph.llm.common import bounded_batches, forget, settled
+from plexgraph.llm.common import bounded_batches, settled
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 HEAD, SAMPLE = 200_000, 1_500
-#: Characters of a stretch and of the piece that is learned from; one in so many stretches; passes over them and their rate.
-STRETCH, PIECE, ONE_IN, ROUNDS, RATE = 1 << 14, 1 << 10, 16, 2, 2e-3
+#: Characters of a stretch and of the piece of it that is learned from, which is all of it; passes over them and their rate.
+STRETCH, PIECE, ROUNDS, RATE = 1 << 14, 1 << 14, 2, 2e-3
 #: Models that meet in the driver after a pass, and pieces that a task learns from at a time.
-_MEET, _GROUP = 32, 2048
+_MEET, _GROUP = 32, 256
 #: Words whose subword ids, and distinct words whose counts, a worker holds at a time.
 _CACHE, _COUNTED = 50_000, 400_000
 #: The table's row for the end of a text; no word is empty.
@@ -332,9 +331,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     sample = drawn.where(F.col("h") <= last).orderBy("h", "stretch").limit(SAMPLE).select("stretch")
     fitted = sample.mapInArrow(partial(_fit, ranks=ranks, frequency=frequency, ends=ends, vocabulary=vocabulary), "model binary").first()
     if fitted:
-        learn_from = settled(drawn.where(F.pmod("h", F.lit(ONE_IN)) == 0))
-        model = spark.sparkContext.broadcast(refined(pickle.loads(fitted[0]), learn_from, ranks))
-        forget(learn_from)
+        model = spark.sparkContext.broadcast(refined(pickle.loads(fitted[0]), drawn, ranks))
     else:
         model = spark.sparkContext.broadcast(fit([], Subwords(raw), frequency, ends, vocabulary))
     head = spark.sparkContext.broadcast({w: math.log10(n + 1) for w, n in head_of(counts).items()})

@@ -388,6 +388,20 @@ def test_pieces_come_from_all_of_a_text(spark):
             assert set(piece.split()) <= set(long.split())
 
 
+def test_all_training_text_teaches_the_model(spark, monkeypatch):
+    seen = []
+
+    def noted(model, drawn, ranks):
+        seen.extend(lm.piece_of(r["stretch"], r["h"]) for r in drawn.collect())
+        return model
+
+    monkeypatch.setattr(lm, "refined", noted)
+    texts = [" ".join(f"w{k}x{i}" for i in range(n)) for k, n in enumerate([5, 40, 400, 9000, 30, 7])]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert lm.score(d, F.col("doc_id") != 4).count() == len(texts)
+    assert Counter("".join(seen)) == Counter("".join(texts[:4] + texts[5:]))
+
+
 def test_refined_models_are_the_mean_of_the_tasks(spark, monkeypatch):
     with open(lm.TOKENIZER, "rb") as f:
         raw = f.read()
