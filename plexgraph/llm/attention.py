@@ -18,7 +18,7 @@ LEAVES = FAN * FAN
 END, PAD = 0, LEAVES
 WINDOW, SCORED = 3 * CELL, 2 * CELL
 #: Products with ones are the fast way to sum short rows.
-_ONES = np.ones((max(WINDOW, FAN), 1), np.float32)
+_ONES = np.ones((max(WINDOW, WIDTH, FAN), 1), np.float32)
 _MASK = np.where(np.arange(WINDOW)[None, :] <= np.arange(CELL, WINDOW)[:, None], 0.0, -1e9).astype(np.float32)
 
 
@@ -59,9 +59,15 @@ def initial(frequency: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(-1, keepdims=True))
-    x /= x.sum(-1, keepdims=True)
-    return x
+    """Softmax of rows of ``FAN``, in place; rows are shifted only if some sum leaves the range of floats."""
+    with np.errstate(over="ignore"):
+        out = np.exp(x)
+        total = out @ _ONES[:FAN]
+    if not (np.isfinite(total) & (total > 1e-30)).all():
+        np.exp(x - x.max(1, keepdims=True), out=out)
+        total = out @ _ONES[:FAN]
+    out /= total
+    return out
 
 
 def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -70,24 +76,26 @@ def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def _hidden(p: dict[str, np.ndarray], inputs: np.ndarray) -> dict[str, np.ndarray]:
-    x = p["E"][inputs]
+    """What training needs of a forward pass, by the matrices of ``_folded``."""
+    f = _folded(p)
+    x = p["E"].take(inputs, axis=0)
     x += p["P"]
     asking = np.ascontiguousarray(x[:, CELL:])
-    q, k, v = _times(asking, p["Q"] * np.float32(1 / np.sqrt(WIDTH))), _times(x, p["K"]), _times(x, p["V"])
-    w = q @ k.transpose(0, 2, 1)
+    asked = _times(asking, f["QK"])
+    w = asked @ x.transpose(0, 2, 1)
     np.clip(w, -60, 60, out=w)  # in place of the usual shift; no sum of WINDOW such terms overflows or vanishes
     w += _MASK
     np.exp(w, out=w)
-    w /= w.sum(-1, keepdims=True)
-    mixed = w @ v
-    h0 = _times(mixed, p["O"])
+    w /= _times(w, _ONES[:WINDOW])
+    mixed = w @ x
+    h0 = _times(mixed, f["VO"])
     h0 += asking
     z = _times(h0, p["A"])
     z += p["a"]
     np.maximum(z, 0, out=z)
     h = _times(z, p["B"])
     h += h0
-    return {"x": x, "q": q, "k": k, "v": v, "w": w, "mixed": mixed, "h0": h0, "z": z, "h": h}
+    return {"x": x, "asking": asking, "asked": asked, "w": w, "mixed": mixed, "h0": h0, "z": z, "h": h, "QK": f["QK"], "VO": f["VO"]}
 
 
 def _folded(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -169,59 +177,91 @@ def _log_probability(p: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray) ->
     return back
 
 
+def _sums_by(keys: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the rows of each key below ``size``."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys.take(order)
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    out = np.zeros((size, rows.shape[1]), rows.dtype)
+    out[ordered[first]] = np.add.reduceat(rows.take(order, axis=0), first, axis=0)
+    return out
+
+
 def _gradients(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
-    f = _hidden(p, inputs)
-    real = targets >= 0
-    n = max(1, int(real.sum()))
-    h, y = f["h"][real], targets[real].astype(np.int64)
-    cls, leaf, rows = y // FAN, y % FAN, np.arange(len(y))
-    one, two = _softmax(h @ p["C"] + p["c"]), None
-    two = _softmax(np.einsum("nd,ndk->nk", h, p["L"][cls], optimize=True) + p["l"][cls])
-    loss = -float(np.log(one[rows, cls] + 1e-30).sum() + np.log(two[rows, leaf] + 1e-30).sum()) / n
-    one[rows, cls] -= 1
-    two[rows, leaf] -= 1
-    one /= n
-    two /= n
-    g = {k: np.zeros_like(v) for k, v in p.items()}
-    g["C"], g["c"] = h.T @ one, one.sum(0)
-    dh = one @ p["C"].T + np.einsum("nk,ndk->nd", two, p["L"][cls], optimize=True)
-    for c in np.unique(cls):
-        at = cls == c
-        g["L"][c], g["l"][c] = h[at].T @ two[at], two[at].sum(0)
-    full = np.zeros_like(f["h"])
-    full[real] = dh
+    """Gradients of the mean loss a target, and that loss. Targets are taken in the order of their classes, each a block of rows."""
+    f, g = _hidden(p, inputs), {}
     flat = lambda x: x.reshape(-1, x.shape[-1])
-    dz = _times(full, p["B"].T) * (f["z"] > 0)
+    total = lambda x: np.ones(len(x), x.dtype) @ x
+    y = targets.ravel()
+    order = np.argsort(y, kind="stable")[np.count_nonzero(y < 0) :]
+    h, y = flat(f["h"]).take(order, axis=0), y.take(order).astype(np.int64)
+    n, rows = max(1, len(y)), np.arange(0, FAN * len(y), FAN)
+    one, two = h @ p["C"], np.empty((len(y), FAN), h.dtype)
+    one += p["c"]
+    edges = np.searchsorted(y, np.arange(0, LEAVES + 1, FAN))
+    blocks = [(c, a, b) for c, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if a < b]
+    for c, a, b in blocks:
+        np.matmul(h[a:b], p["L"][c], out=two[a:b])
+        two[a:b] += p["l"][c]
+    one, two = _softmax(one), _softmax(two)
+    loss = 0.0
+    for x, at in ((one, rows + y // FAN), (two, rows + y % FAN)):
+        loss -= float(np.log(x.ravel()[at] + 1e-30).sum()) / n
+        x.ravel()[at] -= 1
+        x /= n
+    dh = one @ p["C"].T
+    g["C"], g["c"], g["L"], g["l"] = h.T @ one, total(one), np.zeros_like(p["L"]), np.zeros_like(p["l"])
+    for c, a, b in blocks:
+        dh[a:b] += two[a:b] @ p["L"][c].T
+        np.matmul(h[a:b].T, two[a:b], out=g["L"][c])
+        g["l"][c] = total(two[a:b])
+    full = np.zeros_like(f["h"])
+    flat(full)[order] = dh
+    dz = _times(full, p["B"].T)
+    dz *= f["z"] > 0
     g["B"] = flat(f["z"]).T @ flat(full)
-    g["A"], g["a"] = flat(f["h0"]).T @ flat(dz), flat(dz).sum(0)
-    dh0 = full + _times(dz, p["A"].T)
-    g["O"] = flat(f["mixed"]).T @ flat(dh0)
-    dm = _times(dh0, p["O"].T)
-    dw, dv = dm @ f["v"].transpose(0, 2, 1), f["w"].transpose(0, 2, 1) @ dm
-    ds = f["w"] * (dw - (dw * f["w"]).sum(-1, keepdims=True))
-    dq, dk = ds @ f["k"] * np.float32(1 / np.sqrt(WIDTH)), ds.transpose(0, 2, 1) @ f["q"]
-    asking = f["x"][:, CELL:]
-    g["Q"], g["K"], g["V"] = flat(asking).T @ flat(dq), flat(f["x"]).T @ flat(dk), flat(f["x"]).T @ flat(dv)
-    dx = _times(dk, p["K"].T) + _times(dv, p["V"].T)
-    dx[:, CELL:] += dh0 + _times(dq, p["Q"].T)
-    g["P"] = dx.sum(0)
-    np.add.at(g["E"], inputs.ravel(), flat(dx))
+    g["A"], g["a"] = flat(f["h0"]).T @ flat(dz), total(flat(dz))
+    dh0 = _times(dz, p["A"].T)
+    dh0 += full
+    # Of a product of two matrices, each gets the product's gradient times the other.
+    d = flat(f["mixed"]).T @ flat(dh0)
+    g["V"], g["O"] = d @ p["O"].T, p["V"].T @ d
+    dm = _times(dh0, f["VO"].T)
+    ds = dm @ f["x"].transpose(0, 2, 1)
+    ds -= _times(dm * f["mixed"], _ONES[:WIDTH])
+    ds *= f["w"]
+    dx = f["w"].transpose(0, 2, 1) @ dm
+    dx += ds.transpose(0, 2, 1) @ f["asked"]
+    da = ds @ f["x"]
+    d = flat(f["asking"]).T @ flat(da) * np.float32(1 / np.sqrt(WIDTH))
+    g["Q"], g["K"] = d @ p["K"], d.T @ p["Q"]
+    dh0 += _times(da, f["QK"].T)
+    dx[:, CELL:] += dh0
+    g["P"] = total(dx.reshape(len(dx), -1)).reshape(p["P"].shape)
+    g["E"] = _sums_by(inputs.ravel(), flat(dx), len(p["E"]))
     return g, loss
 
 
 class Adam:
-    """Moments of the gradients, and the step they give."""
+    """Moments of the gradients, and the step they give, over all parameters as one row."""
 
     def __init__(self, p: dict[str, np.ndarray]):
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+        self.m, self.v, self.by = (np.zeros(sum(x.size for x in p.values()), np.float32) for _ in range(3))
         self.t = 0
 
     def step(self, p: dict[str, np.ndarray], g: dict[str, np.ndarray], rate: float) -> None:
         self.t += 1
-        for k in p:
-            self.m[k] += 0.1 * (g[k] - self.m[k])
-            self.v[k] += 0.01 * (g[k] ** 2 - self.v[k])
-            p[k] -= np.float32(rate) * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + np.float32(1e-8))
+        row = np.concatenate([g[k].ravel() for k in p])
+        self.m += np.multiply(np.subtract(row, self.m, out=self.by), np.float32(0.1), out=self.by)
+        row *= row
+        self.v += np.multiply(np.subtract(row, self.v, out=self.by), np.float32(0.01), out=self.by)
+        np.sqrt(np.multiply(self.v, np.float32(1 / (1 - 0.99**self.t)), out=row), out=row)
+        row += np.float32(1e-8)
+        np.divide(np.multiply(self.m, np.float32(rate / (1 - 0.9**self.t)), out=self.by), row, out=row)
+        a = 0
+        for x in p.values():
+            x -= row[a : a + x.size].reshape(x.shape)
+            a += x.size
 
 
 def train(texts: list[np.ndarray], frequency: np.ndarray, steps: int = 2000, batch: int = 192, rate: float = 2e-2, seed: int = 7) -> dict[str, np.ndarray]:

@@ -287,10 +287,11 @@ def _score(batches: Iterable[pa.RecordBatch], head: Broadcast, model: Broadcast,
         for text in texts:
             words = words_of(text)
             found = [logs.get(_END), *map(logs.get, words)]
-            tail = [w for w, x in zip([_END, *words], found) if x is None]
+            here = list(filter(None, found))  # no count of a known word is 0
+            tail = [w for w, x in zip([_END, *words], found) if x is None] if len(here) < len(found) else []
             n_tokens.append(len(found))
-            known.append(len(found) - len(tail))
-            sums.append(math.fsum(x for x in found if x is not None))
+            known.append(len(here))
+            sums.append(math.fsum(here))
             tails.append(tail)
             sequence, extra = table.sequence(words)
             sequences.append(sequence)

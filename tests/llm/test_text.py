@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -314,6 +315,33 @@ def test_gradients_by_differences():
             assert abs((up - down) / (2 * d) - g[name].reshape(-1)[i]) < 2e-4, name
 
 
+def test_gradients_hold_no_copy_of_the_leaves_for_each_target():
+    rng = np.random.default_rng(2)
+    p = attention.initial(np.ones(attention.LEAVES))
+    inputs, targets, _ = attention.layout([np.append(rng.integers(1, attention.LEAVES, 40_000), 0).astype(np.int16)])
+    tracemalloc.start()
+    try:
+        attention._gradients(p, inputs, targets)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < targets.size * 4 * attention.WIDTH * attention.FAN
+
+
+def test_gradients_of_large_logits_and_of_no_target():
+    rng = np.random.default_rng(4)
+    inputs, targets, _ = attention.layout([np.append(rng.integers(1, attention.LEAVES, 60), 0).astype(np.int16)])
+    p = attention.initial(np.ones(attention.LEAVES))
+    for shift in (200, -200):
+        q = p | {"c": p["c"] + np.float32(shift), "l": p["l"] - np.float32(shift)}
+        (got, loss), (want, least) = attention._gradients(q, inputs, targets), attention._gradients(p, inputs, targets)
+        assert abs(loss - least) < 1e-3
+        for k in want:
+            np.testing.assert_allclose(got[k], want[k], rtol=1e-2, atol=1e-4)
+    g, loss = attention._gradients(p, inputs, np.full_like(targets, -1))
+    assert loss == 0 and not any(x.any() for x in g.values())
+
+
 def test_the_model_ignores_what_comes_later():
     p = attention.initial(np.ones(attention.LEAVES))
     a, b = np.arange(1, 60, dtype=np.int16), np.arange(1, 60, dtype=np.int16)
