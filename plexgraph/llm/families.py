@@ -48,11 +48,12 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def families(grid: DataFrame, near: Callable[[DataFrame], DataFrame], sketches: Callable[[DataFrame], DataFrame] | None = None, alike: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def families(grid: DataFrame, near: Callable[[DataFrame], DataFrame], sketches: Callable[[DataFrame], DataFrame] | None = None, alike: Callable[[Column, Column], Column] | None = None, known: DataFrame | None = None) -> DataFrame:
     """(node, root) of the nodes that are linked with others: root is the smallest node of the component.
 
     ``grid`` has columns (bucket, node, home); ``near`` keeps of pairs (a, b) those that are linked. ``sketches`` makes (node,
-    sketch) of the nodes that are left after the first step; they form pairs only if their sketches are ``alike``.
+    sketch) of the nodes that are left after the first step; they form pairs only if their sketches are ``alike``. ``known``
+    has (node, root) of components found before, settled; only members of different ones meet.
     """
     shared = grid.groupBy("bucket").agg(F.count(F.lit(1)).alias("mates"), F.count_if("home").alias("homes")).where("mates > 1 AND homes > 0").select("bucket", "mates")
     members = settled(grid.join(shuffled(shared), "bucket"))
@@ -60,7 +61,14 @@ def families(grid: DataFrame, near: Callable[[DataFrame], DataFrame], sketches:
     ranked = members.join(shuffled(central), "node")
     centre = ranked.groupBy("bucket").agg(F.max_by("node", F.when(F.col("home"), F.struct("central", F.xxhash64("node")))).alias("centre"))
     stars = members.join(shuffled(centre), "bucket").where("node != centre")
-    edges, (n,) = counted(near(_ordered(stars.select(F.col("centre").alias("a"), F.col("node").alias("b")))))
+    met = _ordered(stars.select(F.col("centre").alias("a"), F.col("node").alias("b")))
+    if known is not None:
+        ends = [shuffled(known.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))) for x in "ab"]
+        met = met.join(ends[0], "a", "left").join(ends[1], "b", "left").where(~F.coalesce(F.col("ra") == F.col("rb"), F.lit(False))).select("a", "b")
+    linked = near(met)
+    if known is not None:
+        linked = linked.select("a", "b").union(known.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b")))
+    edges, (n,) = counted(linked)
     roots = settled(components(edges).distinct()) if n else None
     now = members.join(shuffled(roots), "node", "left").withColumn("root", F.coalesce("root", "node")) if n else members.withColumn("root", F.col("node"))
     sizes = now.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))

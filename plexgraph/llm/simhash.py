@@ -12,7 +12,7 @@ are found without all their pairs (``families``).
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 from itertools import repeat
 
@@ -45,9 +45,8 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype=np.uint64, count=len(shingles))
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """The unsigned 64-bit fingerprint of a text: majority bits of XXH64 over its word shingles, repeats included."""
-    hashes = shingle_hashes(text, width)
+def majority(hashes: np.ndarray) -> int:
+    """The unsigned 64-bit number whose bits are set in over half the hashes; 0 if there are none."""
     ones, n = np.zeros(64, dtype=np.int64), len(hashes)
     if not n:
         return 0
@@ -57,6 +56,11 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """The unsigned 64-bit fingerprint of a text: majority bits of XXH64 over its word shingles, repeats included."""
+    return majority(shingle_hashes(text, width))
+
+
 def _fingerprints(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fps = [_signed(fingerprint(t, width)) for t in b.column(0).to_pylist()]
@@ -129,12 +133,21 @@ def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def close_families(nodes: DataFrame, distance: int, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(node, root) of the nodes (node, with a field fp) that links of at most ``distance`` bits join; ``more`` keeps of close pairs some."""
+
+    def near(pairs: DataFrame) -> DataFrame:
+        close = pairs.where(_close(F.col("a.fp"), F.col("b.fp"), distance))
+        return more(close) if more else close
+
+    return families(_grid(nodes.select("node", F.col("node.fp").alias("fp")), distance).select("node", "bucket", "home"), near)
+
+
 def _rooted(rows: DataFrame, distance: int) -> DataFrame:
     """(doc_id, fp, .., root) of ``rows`` (doc_id, fp, ..), settled: root is the smallest node of the component."""
     node = node_key(F.col("least"), F.col("fp").alias("fp"))
     distinct = settled(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).select("fp", "n", node.alias("node")))
-    near = lambda pairs: pairs.where(_close(F.col("a.fp"), F.col("b.fp"), distance))
-    found = families(_grid(distinct.select("node", F.col("fp")), distance).select("node", "bucket", "home"), near)
+    found = close_families(distinct, distance)
     named = settled(distinct.join(shuffled(found.select(F.col("node.fp").alias("fp"), "root")), "fp", "left").select("fp", "n", F.coalesce("root", "node").alias("root")))
     total = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return spread_join(rows, named, "fp", "n", total, by_shuffle=True)

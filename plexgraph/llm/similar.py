@@ -1,8 +1,11 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash buckets propose pairs, exact sets decide.
+"""Near copies by the Jaccard similarity of word shingles: fingerprints and MinHash buckets propose pairs, exact sets decide.
 
 A text is the set of its hashed shingles; equal sets are one node. ``BANDS`` buckets of ``ROWS`` minima each hold a node, so
-a pair of similarity 0.8 shares no bucket with probability (1 - 0.8 ** ROWS) ** BANDS, less than one in a million. What is
-proposed is compared by its whole sets, and components are found as in ``families``.
+a pair of similarity 0.8 shares no bucket with probability (1 - 0.8 ** ROWS) ** BANDS, less than one in a million. Of the nodes
+that share buckets, those with fingerprints (of the same shingles) within ``DISTANCE`` bits meet first, by ``simhash``'s join on
+grids of segment popcounts. A similarity of 0.8 lets some 10 of 64 bits differ, far more than a grid can bound, so the families
+found thus meet each other by their buckets. Whatever is proposed is compared by its whole sets, and components are found as in
+``families``.
 
 Copies of one text that differ too much from it and from each other share buckets, but no link. They are told apart before
 sets meet, by the parities of their shingles in ``64 * ODD`` bins: a shingle that one of two sets has flips one bit, so that
@@ -22,10 +25,12 @@ from pyspark.sql import functions as F
 
 from plexgraph.llm.common import bounded_batches, forget, row_hash, settled, shuffled, spread_join
 from plexgraph.llm.families import families, id_of, node_key
-from plexgraph.llm.simhash import keep_first, shingle_hashes
+from plexgraph.llm.simhash import close_families, keep_first, majority, shingle_hashes
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 48, 6
+#: Bits in which fingerprints may differ to meet first.
+DISTANCE = 3
 #: A sketch has one bit of each of 64 * ``SKETCH`` minima. At a similarity of 0.8 a tenth of them differ, 25.6 on average, and
 #: more than ``APART`` in less than one case in a million.
 SKETCH, APART = 4, 54
@@ -77,7 +82,8 @@ def _nodes(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
         sets = [shingle_set(t, width) for t in b.column(2).to_pylist()]
         nodes = np.array([node_of(s) for s in sets], np.uint64).view(np.int64)
         held = pa.array([signature(s) for s in sets], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), held], names=["doc_id", "row", "hash", "size", "signature"])
+        fps = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), held, pa.array(fps)], names=["doc_id", "row", "hash", "size", "signature", "fp"])
 
 
 def _sets(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -91,16 +97,16 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, width: int, similarity:
     """(doc_id, row, root) for each row of ``docs``: its hash, and the smallest node of its component."""
     bounded_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_hash(docs).alias("row"), F.col(text_col).cast("string").alias("text"))
-    rows = settled(slim.mapInArrow(partial(_nodes, width=width), "doc_id long, row long, hash long, size int, signature array<long>"))
+    rows = settled(slim.mapInArrow(partial(_nodes, width=width), "doc_id long, row long, hash long, size int, signature array<long>, fp long"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    distinct = settled(rows.groupBy("hash").agg(first, F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("signature").alias("signature")))
+    distinct = settled(rows.groupBy("hash").agg(first, F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("signature").alias("signature"), F.first("fp").alias("fp")))
     node = node_key(F.col("first.doc_id"), F.col("hash"), F.col("size"))
     grid = distinct.select("signature", node.alias("node")).select(F.explode(F.slice("signature", 1, BANDS)).alias("bucket"), "node", F.lit(True).alias("home"))
     # Sets are made, once each, of the nodes that share a bucket with others, from one row each.
     shared = grid.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     grid = settled(grid.join(shuffled(shared), "bucket"))
-    wanted = distinct.join(shuffled(grid.select(F.col("node.hash").alias("hash")).distinct()), "hash", "left_semi").select(F.col("first.row").alias("row")).distinct()
-    texts = slim.join(settled(wanted).hint("merge"), "row", "left_semi").select("text")
+    proposed = settled(distinct.join(shuffled(grid.select(F.col("node.hash").alias("hash")).distinct()), "hash", "left_semi").select("first", "hash", "size", "fp"))
+    texts = slim.join(proposed.select(F.col("first.row").alias("row")).distinct().hint("merge"), "row", "left_semi").select("text")
     sets = settled(texts.mapInArrow(partial(_sets, width=width), "hash long, shingles array<long>").dropDuplicates(["hash"]))
     one, other = (sets.select(F.col("hash").alias(f"h{x}"), F.col("shingles").alias(f"s{x}")) for x in "ab")
 
@@ -108,14 +114,17 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, width: int, similarity:
         sizes = F.least("a.size", "b.size") / F.greatest("a.size", "b.size") >= similarity
         held = pairs.where(sizes).join(shuffled(one), F.col("a.hash") == F.col("ha")).join(shuffled(other), F.col("b.hash") == F.col("hb"))
         both = F.size(F.array_intersect("sa", "sb"))
-        return held.where(both / (F.size("sa") + F.size("sb") - both) >= similarity)
+        return held.where(both / (F.size("sa") + F.size("sb") - both) >= similarity).select("a", "b")
 
     def sketches(nodes: DataFrame) -> DataFrame:
         known = nodes.select("node", F.col("node.hash").alias("hash")).join(shuffled(distinct.select("hash", "signature")), "hash")
         parts = F.struct(F.slice("signature", BANDS + 1, SKETCH).alias("bits"), F.slice("signature", BANDS + SKETCH + 1, ODD).alias("odd"), F.col("node.size").alias("size"))
         return known.select("node", parts.alias("sketch"))
 
-    found = families(grid, near, sketches, lambda a, b: alike(a["bits"], b["bits"]) & possible(a, b, similarity))
+    bare = lambda x: F.struct(*(F.col(f"{x}.{name}").alias(name) for name in ("none", "id", "hash", "size"))).alias(x)
+    close = close_families(proposed.select(node_key(F.col("first.doc_id"), F.col("hash"), F.col("size"), F.col("fp")).alias("node")), DISTANCE, near)
+    close = settled(close.select(bare("node"), bare("root")))
+    found = families(grid, near, sketches, lambda a, b: alike(a["bits"], b["bits"]) & possible(a, b, similarity), close)
     forget(grid)
     named = settled(distinct.select("hash", "n", node.alias("node")).join(shuffled(found.select(F.col("node.hash").alias("hash"), "root")), "hash", "left").select("hash", "n", F.coalesce("root", "node").alias("root")))
     total = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -193,6 +193,40 @@ def test_copies_that_differ_too_much_form_few_pairs_and_lose_no_link(spark, monk
     assert sizes[1] < 300
 
 
+def test_close_fingerprints_of_five_words_meet_first(spark, monkeypatch):
+    rng, known, met, families_of = random.Random(12), [], [], similar.families
+
+    def noted(grid, near, *a):
+        known.extend((r["node"]["id"], r["root"]["id"]) for r in a[2].collect())
+
+        def kept(pairs):
+            met.extend((r["a"]["id"], r["b"]["id"]) for r in pairs.select("a", "b").collect())
+            return near(pairs)
+
+        return families_of(grid, kept, *a)
+
+    monkeypatch.setattr(similar, "families", noted)
+    texts = {}
+    for k in range(10):  # copies at few bits, copies at more, and one that shares less than 80 %
+        words = [f"w{rng.randrange(9000)}" for _ in range(300)]
+        for j, n in enumerate((0, 0, 0, 1, 1, 5, 30)):
+            other = list(words)
+            for _ in range(n):
+                other[rng.randrange(300)] = f"x{rng.randrange(9000)}"
+            texts[10 * k + j] = " ".join([*other, *["end"] * j])
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    root, linked = brute_similar(texts)
+    assert {r["doc_id"]: r["component_id"] for r in similar.groups(d).collect()} == root
+    fps = {d: simhash.majority(similar.shingle_set(t)) for d, t in texts.items()}
+    close = [(a, b) for a, b in linked if (fps[a] ^ fps[b]).bit_count() <= 3]
+    least = {x: x for pair in close for x in pair}
+    for _ in least:
+        for a, b in close:
+            least[a] = least[b] = min(least[a], least[b])
+    assert dict(known) == least and 20 < len(least) and len(close) < len(linked)
+    assert not any(a in least and b in least and least[a] == least[b] for a, b in met)
+
+
 def test_parities_bound_the_similarity(spark):
     import numpy as np
 
