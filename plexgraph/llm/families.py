@@ -9,21 +9,68 @@ family costs what its members cost, and no link between different components is
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DataType, IntegerType, LongType, StructField, StructType
 
 from plexgraph.llm.common import counted, forget, settled, shuffled
 
+#: Up to so many edges, one task finds the components; beyond, rounds of joins do, each of which makes eight jobs.
+SMALL = 500_000
+
+
+def _plain(kind: DataType) -> bool:
+    fields = [f.dataType for f in kind.fields] if isinstance(kind, StructType) else [kind]
+    return all(isinstance(f, BooleanType | IntegerType | LongType) for f in fields)
+
+
+def _ranks(nodes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Each node's rank in Spark's order (field by field, nulls first), and for each rank the place of a node that has it."""
+    fields = [f.cast(pa.int64()) for f in (nodes.flatten() if pa.types.is_struct(nodes.type) else [nodes])]
+    keys = [x.to_numpy(zero_copy_only=False) for f in fields for x in (f.is_valid(), f.fill_null(0))]
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[order[1:]] != k[order[:-1]]
+    ranks = np.empty(len(order), np.int64)
+    ranks[order] = np.cumsum(new) - 1
+    return ranks, order[new]
+
+
+def _in_one_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of the ends of all edges: roots hang on to smaller ones that an edge leads to, until none does."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    nodes = pa.concat_arrays([b.column(k) for k in (0, 1) for b in held])
+    ranks, place = _ranks(nodes)
+    a, b = ranks[: len(ranks) // 2], ranks[len(ranks) // 2 :]
+    root = np.arange(len(place))
+    while (root[a] != root[b]).any():
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    for k in range(0, len(place), 1 << 16):
+        yield pa.RecordBatch.from_arrays([nodes.take(pa.array(place[at])) for at in (slice(k, k + (1 << 16)), root[k : k + (1 << 16)])], names=["node", "root"])
+
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for each end of an edge (a, b): root is the smallest node of its component.
+    """(node, root), once for each end of an edge (a, b): root is the smallest node of its component.
 
-    Large-star and small-star steps alternate until no edge changes; each step needs an aggregate and an equi-join, and
-    its edges are written to the shared folder. Raises if that takes more than ``rounds`` rounds.
+    At most ``SMALL`` edges between nodes of numbers meet in one task. Of more, large-star and small-star steps alternate until
+    no edge changes; each step needs an aggregate and an equi-join, and its edges are written to the shared folder. Raises if
+    that takes more than ``rounds`` rounds.
     """
-    now, seen = settled(edges.select("a", "b")), None
+    (now, (n,)), seen = counted(edges.select("a", "b").where("a != b")), None
+    kind = now.schema["a"].dataType
+    if n <= SMALL and _plain(kind):
+        return now.coalesce(1).mapInArrow(_in_one_task, StructType([StructField("node", kind), StructField("root", kind)]))
     for _ in range(rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -69,7 +116,7 @@ def families(grid: DataFrame, near: Callable[[DataFrame], DataFrame], sketches:
     if known is not None:
         linked = linked.select("a", "b").union(known.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b")))
     edges, (n,) = counted(linked)
-    roots = settled(components(edges).distinct()) if n else None
+    roots = settled(components(edges)) if n else None
     now = members.join(shuffled(roots), "node", "left").withColumn("root", F.coalesce("root", "node")) if n else members.withColumn("root", F.col("node"))
     sizes = now.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     several = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", "n").alias("most")).where("roots > 1").select("bucket", "most")
@@ -84,7 +131,7 @@ def families(grid: DataFrame, near: Callable[[DataFrame], DataFrame], sketches:
     forget(members, told)
     if not m:
         return roots if n else members.sparkSession.createDataFrame([], edges.select(F.col("a").alias("node"), F.col("b").alias("root")).schema)
-    return settled(components(edges.union(more)).distinct())
+    return settled(components(edges.union(more)))
 
 
 def node_key(doc_id, *rest):

@@ -65,6 +65,31 @@ def test_components_of_long_chains(spark):
     assert got == {**{n: 0 for n in range(200)}, 300: 300, 301: 300, 302: 300}
 
 
+@pytest.mark.parametrize("small, tables", [(500_000, 1), (0, 99)])
+def test_few_edges_need_no_rounds_and_more_give_the_same(spark, monkeypatch, small, tables):
+    rng, written, counted, settled = random.Random(4), [], families.counted, families.settled
+    monkeypatch.setattr(families, "SMALL", small, raising=False)
+    monkeypatch.setattr(families, "counted", lambda *a: written.append(1) or counted(*a))
+    monkeypatch.setattr(families, "settled", lambda *a: written.append(1) or settled(*a))
+    ids = [-(1 << 63), (1 << 63) - 1, *range(-400, 400)]
+    rng.shuffle(ids)
+    pairs = [*zip(ids[:200], ids[1:200]), *((ids[200], x) for x in ids[201:300]), *zip(rng.choices(ids[300:700], k=250), rng.choices(ids[300:700], k=250)), (ids[700], ids[700])]
+    pairs += [(b, a) for a, b in pairs[::3]]
+    node = lambda x: F.struct((F.col(x) % 7 == 0).alias("none"), F.col(x).alias("id"), (F.col(x) % 10).cast("int").alias("size"))
+    got = families.components(spark.createDataFrame(pairs, "x long, y long").select(node("x").alias("a"), node("y").alias("b"))).collect()
+    key = lambda i: (i % 7 == 0, i)
+    least = {x: x for p in pairs if p[0] != p[1] for x in p}
+    for _ in least:
+        before = dict(least)
+        for a, b in pairs:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b], key=key)
+        if before == least:
+            break
+    assert sorted((r["node"]["id"], r["root"]["id"]) for r in got) == sorted(least.items())
+    assert len(written) <= tables
+
+
 def test_simhash_of_odd_rows(odd, none):
     got = Counter((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(odd).collect())
     assert got[1, 1] == 2 and got[2, 2] == got[3, 2] == got[4, 2] == 1 and got[None, None] == 1 and sum(got.values()) == 10
