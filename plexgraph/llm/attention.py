@@ -19,6 +19,9 @@ END, PAD = 0, LEAVES
 WINDOW, SCORED = 3 * CELL, 2 * CELL
 #: Products with ones are the fast way to sum short rows.
 _ONES = np.ones((max(WINDOW, WIDTH, FAN), 1), np.float32)
+_ZERO, _LARGE = np.float32(0), np.float32(np.inf)
+#: Rows of a block of ``_crossed``.
+_BLOCK = 768
 _MASK = np.where(np.arange(WINDOW)[None, :] <= np.arange(CELL, WINDOW)[:, None], 0.0, -1e9).astype(np.float32)
 
 
@@ -58,15 +61,15 @@ def initial(frequency: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
     }
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """Softmax of rows of ``FAN``, in place; rows are shifted only if some sum leaves the range of floats."""
+def _softmax(x: np.ndarray, share: float) -> np.ndarray:
+    """Softmax of rows of ``FAN``, times ``share``; rows are shifted only if some sum leaves the range of floats."""
     with np.errstate(over="ignore"):
         out = np.exp(x)
         total = out @ _ONES[:FAN]
     if not (np.isfinite(total) & (total > 1e-30)).all():
         np.exp(x - x.max(1, keepdims=True), out=out)
         total = out @ _ONES[:FAN]
-    out /= total
+    out *= np.divide(share, total, out=total)
     return out
 
 
@@ -75,6 +78,19 @@ def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return (x.reshape(-1, x.shape[-1]) @ w).reshape(*x.shape[:-1], -1)
 
 
+def _crossed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a.T @ b``, in blocks of rows small enough for the fast way of products."""
+    out = a[:_BLOCK].T @ b[:_BLOCK]
+    for k in range(_BLOCK, len(a), _BLOCK):
+        out += a[k : k + _BLOCK].T @ b[k : k + _BLOCK]
+    return out
+
+
+def _with_ones(h: np.ndarray) -> np.ndarray:
+    """Rows with a 1 at their end, which meets the biases in ``_folded``'s matrices."""
+    return np.concatenate([h, np.ones((len(h), 1), h.dtype)], 1)
+
+
 def _hidden(p: dict[str, np.ndarray], inputs: np.ndarray) -> dict[str, np.ndarray]:
     """What training needs of a forward pass, by the matrices of ``_folded``."""
     f = _folded(p)
@@ -82,7 +98,8 @@ def _hidden(p: dict[str, np.ndarray], inputs: np.ndarray) -> dict[str, np.ndarra
     x += p["P"]
     asking = np.ascontiguousarray(x[:, CELL:])
     asked = _times(asking, f["QK"])
-    w = asked @ x.transpose(0, 2, 1)
+    turned = np.ascontiguousarray(x.transpose(0, 2, 1))
+    w = asked @ turned
     np.clip(w, -60, 60, out=w)  # in place of the usual shift; no sum of WINDOW such terms overflows or vanishes
     w += _MASK
     np.exp(w, out=w)
@@ -92,15 +109,18 @@ def _hidden(p: dict[str, np.ndarray], inputs: np.ndarray) -> dict[str, np.ndarra
     h0 += asking
     z = _times(h0, p["A"])
     z += p["a"]
-    np.maximum(z, 0, out=z)
+    np.clip(z, _ZERO, _LARGE, out=z)
     h = _times(z, p["B"])
     h += h0
-    return {"x": x, "asking": asking, "asked": asked, "w": w, "mixed": mixed, "h0": h0, "z": z, "h": h, "QK": f["QK"], "VO": f["VO"]}
+    return f | {"x": x, "turned": turned, "asking": asking, "asked": asked, "w": w, "mixed": mixed, "h0": h0, "z": z, "h": h}
 
 
 def _folded(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Parameters for scoring alone: queries meet inputs through one matrix, and what is mixed leaves by another."""
-    return p | {"QK": p["Q"] @ p["K"].T * np.float32(1 / np.sqrt(WIDTH)), "VO": p["V"] @ p["O"]}
+    """Parameters and what they give: queries meet inputs through one matrix, what is mixed leaves by another, and biases are rows."""
+    return p | {
+        "QK": p["Q"] @ p["K"].T * np.float32(1 / np.sqrt(WIDTH)), "VO": p["V"] @ p["O"],
+        "Cc": np.concatenate([p["C"], p["c"][None]]), "Ll": np.concatenate([p["L"], p["l"][:, None]], 1),
+    }
 
 
 def _states(p: dict[str, np.ndarray], inputs: np.ndarray) -> np.ndarray:
@@ -119,7 +139,7 @@ def _states(p: dict[str, np.ndarray], inputs: np.ndarray) -> np.ndarray:
     h += asking
     z = _times(h, p["A"])
     z += p["a"]
-    np.maximum(z, 0, out=z)
+    np.clip(z, _ZERO, _LARGE, out=z)
     h += _times(z, p["B"])
     return h
 
@@ -155,35 +175,36 @@ def _log_total(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _logits(p: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Logits of the classes and of the leaves in the target's class (2, rows, FAN), where the targets' own stand in them, and each
+    class's block of rows; h has ones, and y is in order."""
+    out = np.empty((2, len(y), FAN), h.dtype)
+    np.matmul(h, p["Cc"], out=out[0])
+    edges = np.searchsorted(y, np.arange(0, LEAVES + 1, FAN)).tolist()
+    blocks = [(c, a, b) for c, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if a < b]
+    for c, a, b in blocks:
+        np.matmul(h[a:b], p["Ll"][c], out=out[1, a:b])
+    return out, np.arange(0, 2 * FAN * len(y), FAN) + np.concatenate([y // FAN, y % FAN]), blocks
+
+
 def _log_probability(p: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray) -> np.ndarray:
     order = np.argsort(y, kind="stable")
-    h, y = h.take(order, axis=0), y.take(order).astype(np.int64)
-    rows = np.arange(0, FAN * len(h), FAN)
-    first = h @ p["C"]
-    first += p["c"]
-    logp = first.ravel().take(rows + y // FAN)
-    edges = np.searchsorted(y, np.arange(0, LEAVES + 1, FAN))
-    second = np.empty_like(first)
-    for c in range(FAN):
-        a, b = edges[c], edges[c + 1]
-        if a < b:
-            np.matmul(h[a:b], p["L"][c], out=second[a:b])
-            second[a:b] += p["l"][c]
-    logp += second.ravel().take(rows + y % FAN)
-    for x in (first, second):
-        logp -= _log_total(x)
+    logits, own, _ = _logits(p, _with_ones(h.take(order, axis=0)), y.take(order).astype(np.int64))
+    logp = logits.ravel().take(own)
+    logp -= _log_total(logits.reshape(-1, FAN))
     back = np.empty(len(h))
-    back[order] = logp
+    back[order] = logp[: len(h)] + logp[len(h) :]
     return back
 
 
 def _sums_by(keys: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-    """Sums of the rows of each key below ``size``."""
+    """Sums of the rows of each key below ``size``; as complex numbers, two columns are summed at a time."""
     order = np.argsort(keys, kind="stable")
     ordered = keys.take(order)
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     out = np.zeros((size, rows.shape[1]), rows.dtype)
-    out[ordered[first]] = np.add.reduceat(rows.take(order, axis=0), first, axis=0)
+    pairs = rows.take(order, axis=0).view(np.result_type(rows, np.complex64))
+    out[ordered[first]] = np.add.reduceat(pairs, first, axis=0).view(rows.dtype)
     return out
 
 
@@ -194,46 +215,41 @@ def _gradients(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray
     total = lambda x: np.ones(len(x), x.dtype) @ x
     y = targets.ravel()
     order = np.argsort(y, kind="stable")[np.count_nonzero(y < 0) :]
-    h, y = flat(f["h"]).take(order, axis=0), y.take(order).astype(np.int64)
-    n, rows = max(1, len(y)), np.arange(0, FAN * len(y), FAN)
-    one, two = h @ p["C"], np.empty((len(y), FAN), h.dtype)
-    one += p["c"]
-    edges = np.searchsorted(y, np.arange(0, LEAVES + 1, FAN))
-    blocks = [(c, a, b) for c, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if a < b]
+    h, y = _with_ones(flat(f["h"]).take(order, axis=0)), y.take(order).astype(np.int64)
+    n = max(1, len(y))
+    logits, own, blocks = _logits(f, h, y)
+    both = _softmax(logits.reshape(-1, FAN), 1 / n).ravel()
+    right = both.take(own)
+    loss = -float(np.log(right * n + 1e-30).sum()) / n
+    both[own] = right - 1 / n
+    one, two = both.reshape(2, -1, FAN)
+    dh, more, d = one @ p["C"].T, np.empty((len(y), WIDTH), h.dtype), np.zeros_like(f["Ll"])
     for c, a, b in blocks:
-        np.matmul(h[a:b], p["L"][c], out=two[a:b])
-        two[a:b] += p["l"][c]
-    one, two = _softmax(one), _softmax(two)
-    loss = 0.0
-    for x, at in ((one, rows + y // FAN), (two, rows + y % FAN)):
-        loss -= float(np.log(x.ravel()[at] + 1e-30).sum()) / n
-        x.ravel()[at] -= 1
-        x /= n
-    dh = one @ p["C"].T
-    g["C"], g["c"], g["L"], g["l"] = h.T @ one, total(one), np.zeros_like(p["L"]), np.zeros_like(p["l"])
-    for c, a, b in blocks:
-        dh[a:b] += two[a:b] @ p["L"][c].T
-        np.matmul(h[a:b].T, two[a:b], out=g["L"][c])
-        g["l"][c] = total(two[a:b])
+        np.matmul(two[a:b], p["L"][c].T, out=more[a:b])
+        np.matmul(h[a:b].T, two[a:b], out=d[c])
+    dh += more
+    g["L"], g["l"] = d[:, :-1], d[:, -1]
+    d = _crossed(h, one)
+    g["C"], g["c"] = d[:-1], d[-1]
     full = np.zeros_like(f["h"])
     flat(full)[order] = dh
     dz = _times(full, p["B"].T)
     dz *= f["z"] > 0
-    g["B"] = flat(f["z"]).T @ flat(full)
-    g["A"], g["a"] = flat(f["h0"]).T @ flat(dz), total(flat(dz))
+    g["B"] = _crossed(flat(f["z"]), flat(full))
+    g["A"], g["a"] = _crossed(flat(f["h0"]), flat(dz)), total(flat(dz))
     dh0 = _times(dz, p["A"].T)
     dh0 += full
     # Of a product of two matrices, each gets the product's gradient times the other.
-    d = flat(f["mixed"]).T @ flat(dh0)
+    d = _crossed(flat(f["mixed"]), flat(dh0))
     g["V"], g["O"] = d @ p["O"].T, p["V"].T @ d
     dm = _times(dh0, f["VO"].T)
-    ds = dm @ f["x"].transpose(0, 2, 1)
+    ds = dm @ f["turned"]
     ds -= _times(dm * f["mixed"], _ONES[:WIDTH])
     ds *= f["w"]
     dx = f["w"].transpose(0, 2, 1) @ dm
     dx += ds.transpose(0, 2, 1) @ f["asked"]
     da = ds @ f["x"]
-    d = flat(f["asking"]).T @ flat(da) * np.float32(1 / np.sqrt(WIDTH))
+    d = _crossed(flat(f["asking"]), flat(da)) * np.float32(1 / np.sqrt(WIDTH))
     g["Q"], g["K"] = d @ p["K"], d.T @ p["Q"]
     dh0 += _times(da, f["QK"].T)
     dx[:, CELL:] += dh0
@@ -243,25 +259,34 @@ def _gradients(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray
 
 
 class Adam:
-    """Moments of the gradients, and the step they give, over all parameters as one row."""
+    """A copy ``p`` of parameters, all in one row, that takes the steps that the moments of the gradients give.
+
+    The moments are held as plain decaying sums, which costs fewer passes over the row.
+    """
 
     def __init__(self, p: dict[str, np.ndarray]):
-        self.m, self.v, self.by = (np.zeros(sum(x.size for x in p.values()), np.float32) for _ in range(3))
+        self._row = np.concatenate([x.ravel() for x in p.values()])
+        ends = np.cumsum([x.size for x in p.values()]).tolist()
+        self.p = {k: self._row[b - x.size : b].reshape(x.shape) for (k, x), b in zip(p.items(), ends)}
+        self._m, self._v, self._g = (np.zeros_like(self._row) for _ in range(3))
         self.t = 0
 
-    def step(self, p: dict[str, np.ndarray], g: dict[str, np.ndarray], rate: float) -> None:
+    def step(self, g: dict[str, np.ndarray], rate: float) -> None:
         self.t += 1
-        row = np.concatenate([g[k].ravel() for k in p])
-        self.m += np.multiply(np.subtract(row, self.m, out=self.by), np.float32(0.1), out=self.by)
+        row, m, v = self._g, self._m, self._v
+        np.concatenate([g[k].ravel() for k in self.p], out=row)
+        m *= np.float32(0.9)
+        m += row
         row *= row
-        self.v += np.multiply(np.subtract(row, self.v, out=self.by), np.float32(0.01), out=self.by)
-        np.sqrt(np.multiply(self.v, np.float32(1 / (1 - 0.99**self.t)), out=row), out=row)
-        row += np.float32(1e-8)
-        np.divide(np.multiply(self.m, np.float32(rate / (1 - 0.9**self.t)), out=self.by), row, out=row)
-        a = 0
-        for x in p.values():
-            x -= row[a : a + x.size].reshape(x.shape)
-            a += x.size
+        v *= np.float32(0.99)
+        v += row
+        # With means 0.1 * m and 0.01 * v of the moments, each freed of its bias by a factor.
+        np.sqrt(v, out=row)
+        scale = 0.1 / np.sqrt(1 - 0.99**self.t)
+        row += np.float32(1e-8 / scale)
+        np.divide(m, row, out=row)
+        row *= np.float32(rate * 0.1 / (1 - 0.9**self.t) / scale)
+        self._row -= row
 
 
 def train(texts: list[np.ndarray], frequency: np.ndarray, steps: int = 2000, batch: int = 192, rate: float = 2e-2, seed: int = 7) -> dict[str, np.ndarray]:
@@ -271,24 +296,25 @@ def train(texts: list[np.ndarray], frequency: np.ndarray, steps: int = 2000, bat
         return p
     inputs, targets, _ = layout(texts)
     rng, adam = np.random.default_rng(seed + 1), Adam(p)
+    p = adam.p
     for t in range(1, steps + 1):
         at = rng.integers(0, len(inputs), batch)
         g, _ = _gradients(p, inputs[at], targets[at])
-        adam.step(p, g, rate * min(1.0, t / 50) * (1 - 0.95 * t / steps))
+        adam.step(g, rate * min(1.0, t / 50) * (1 - 0.95 * t / steps))
     return p
 
 
 def refine(p: dict[str, np.ndarray], groups: Iterable[list[np.ndarray]], rate: float, batch: int = 192, seed: int = 7) -> tuple[dict[str, np.ndarray], int]:
     """``p`` after one pass over the windows of all groups of texts, and the number of windows; groups are held one at a time."""
-    p = {k: v.copy() for k, v in p.items()}
     adam, rng, n = Adam(p), np.random.default_rng(seed), 0
+    p = adam.p
     for texts in groups:
         inputs, targets, _ = layout(texts)
         order = rng.permutation(len(inputs))
         for a in range(0, len(order), batch):
             at = order[a : a + batch]
             g, _ = _gradients(p, inputs[at], targets[at])
-            adam.step(p, g, rate * min(1.0, (adam.t + 1) / 20) * len(at) / batch)
+            adam.step(g, rate * min(1.0, (adam.t + 1) / 20) * len(at) / batch)
         n += len(order)
     return p, n
 

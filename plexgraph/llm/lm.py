@@ -22,12 +22,13 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plexgraph.llm import attention
-from plexgraph.llm.common import bounded_batches, settled
+from plexgraph.llm.common import BATCH_BYTES, bounded_batches, settled
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 HEAD, SAMPLE = 200_000, 1_500
@@ -35,8 +36,10 @@ HEAD, SAMPLE = 200_000, 1_500
 STRETCH, PIECE, ROUNDS, RATE = 1 << 14, 1 << 14, 2, 2e-3
 #: Models that meet in the driver after a pass, and pieces that a task learns from at a time.
 _MEET, _GROUP = 32, 256
-#: Words whose subword ids, and distinct words whose counts, a worker holds at a time.
-_CACHE, _COUNTED = 50_000, 400_000
+#: Words whose subword ids a worker holds at a time.
+_CACHE = 50_000
+#: Bytes of text whose words are counted at a time, if there is more than one batch.
+_COUNTED = 4 * BATCH_BYTES
 #: The table's row for the end of a text; no word is empty.
 _END = b""
 #: A longer word is cut in pieces of so many bytes before its subwords are looked up.
@@ -48,6 +51,16 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def column_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """``words_of`` for a column: its distinct words, the place of each word of each text among them, and the texts' numbers of words."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, offsets = split.flatten(), split.offsets.to_numpy()
+    real = pc.binary_length(words).to_numpy() > 0  # a text that begins or ends with white space has an empty part there
+    counts = np.diff(np.concatenate([[0], np.cumsum(real)])[offsets - offsets[0]])
+    found = (words if real.all() else words.filter(pa.array(real))).dictionary_encode()
+    return found.dictionary.cast(pa.binary()), found.indices.to_numpy(), counts
+
+
 class Subwords:
     """Subword ids of words, by a public tokenizer's ranks."""
 
@@ -55,13 +68,36 @@ class Subwords:
         import tiktoken
 
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        self._bpe = tiktoken.Encoding("own", pat_str=r"\S+", mergeable_ranks=table, special_tokens={})._core_bpe
+        self._bpe = tiktoken.Encoding("own", pat_str=r" [^ ]+", mergeable_ranks=table, special_tokens={})._core_bpe
+        self._begins = np.zeros(1 + max(table.values()), bool)
+        self._begins[[i for t, i in table.items() if t.startswith(b" ")]] = True
 
     def ids(self, word: bytes) -> list[int]:
         if len(word) < _PIECE:
             return self._bpe.encode_single_piece(b" " + word)
         return [i for a in range(0, len(word), _PIECE) for i in self._bpe.encode_single_piece((b"" if a else b" ") + word[a : a + _PIECE])]
 
+    def cut(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Subword ids of all words of an array, one after the other, and each word's number of them.
+
+        Short words are cut in one call, each with a space before it; only the first subword of a word begins with a space.
+        """
+        length = pc.binary_length(words).to_numpy()
+        long, some = length >= _PIECE, (length > 0) & (length < _PIECE)  # the empty word has no subwords
+        short = words if some.all() else words.filter(pa.array(some))
+        sizes, ids = np.zeros(len(words), np.int64), np.zeros(0, np.int32)
+        if len(short):
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(short)], pa.int32()), short), b" ")[0].as_py()
+            ids = np.array(self._bpe.encode_ordinary((b" " + joined).decode()), np.int32)
+            sizes[some] = np.diff(np.flatnonzero(self._begins[ids]), append=len(ids))
+        if long.any():
+            cut = [self.ids(w) for w in words.filter(pa.array(long)).to_pylist()]
+            sizes[long] = [len(c) for c in cut]
+            apart, out = np.repeat(long, sizes), np.empty(sizes.sum(), np.int32)
+            out[~apart], out[apart] = ids, np.concatenate(cut)
+            ids = out
+        return ids, sizes
+
 
 _held: dict = {}
 
@@ -112,20 +148,54 @@ class Leaves(dict):
         return np.frombuffer(b"".join(parts), dtype=np.int16), extra
 
 
+class Sequences:
+    """Leaves of the texts of a column, as by ``Leaves.sequence``; each distinct word of the column is cut once.
+
+    ``words`` are the distinct words and, as the last, the end; ``at`` is the place among them of each token of each text, where a
+    text's tokens begin at ``first``; ``extra`` has the log10 of what the texts' subwords add inside shared leaves.
+    """
+
+    def __init__(self, texts: pa.Array, subwords: Subwords, leaf: np.ndarray, inside: np.ndarray):
+        words, at, counts = column_words(texts)
+        self.words, self.n_tokens = pa.concat_arrays([words, pa.array([_END], pa.binary())]), counts + 1
+        last = np.cumsum(self.n_tokens) - 1
+        self.first = last - counts
+        self.at = np.full(len(at) + len(counts), len(words), np.int32)
+        inner = np.ones(len(self.at), bool)
+        inner[last] = False
+        self.at[inner] = at
+        ids, sizes = subwords.cut(words)
+        begin = np.cumsum(sizes) - sizes
+        self.extra = self.sums(np.append(np.add.reduceat(inside[ids], begin) if len(ids) else [], 0.0))
+        # Each token's leaves stand together among those of the distinct words.
+        cut, begin, sizes = np.append(leaf[ids], attention.END).astype(np.int16), np.append(begin, len(ids)).astype(np.int32), np.append(sizes, 1).astype(np.int32)
+        each = sizes[self.at]
+        stop = np.cumsum(each)
+        source = np.repeat(begin[self.at] - (stop - each).astype(np.int32), each)
+        source += np.arange(len(source), dtype=np.int32)
+        leaves, ends = cut[source], stop[last].tolist()
+        self.leaves = [leaves[a:b] for a, b in zip([0, *ends], ends)]
+
+    def sums(self, of_words: np.ndarray) -> np.ndarray:
+        """Sums over each text's tokens of what its words have."""
+        return np.add.reduceat(of_words[self.at], self.first)
+
+
 def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    held: list[pa.Array] = []
     for b in batches:
-        for text in b.column(0).to_pylist():
-            counts.update(words_of(text))
-        counts[_END] += b.num_rows
-        if len(counts) > _COUNTED:
-            yield _pairs(counts)
-            counts = Counter()
-    yield _pairs(counts)
+        if held and sum(x.nbytes for x in held) + b.nbytes > _COUNTED:
+            yield _pairs(held)
+            held = []
+        held.append(b.column(0))
+    if held:
+        yield _pairs(held)
 
 
-def _pairs(counts: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+def _pairs(texts: list[pa.Array]) -> pa.RecordBatch:
+    words, at, sizes = column_words(pa.concat_arrays(texts))
+    n = np.append(np.bincount(at, minlength=len(words)), len(sizes))
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.array([_END], pa.binary())]), pa.array(n, pa.int64())], names=["word", "n"])
 
 
 def word_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
@@ -136,13 +206,15 @@ def word_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _count_subwords(batches: Iterable[pa.RecordBatch], ranks: Broadcast) -> Iterator[pa.RecordBatch]:
-    subwords, counts = _subwords(ranks), Counter()
+    subwords, counts = _subwords(ranks), np.zeros(0, np.int64)
     for b in batches:
-        for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            if word:
-                for i in subwords.ids(word):
-                    counts[i] += n
-    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["id", "n"])
+        ids, sizes = subwords.cut(b.column(0))
+        here = np.zeros(max(len(counts), ids.max(initial=-1) + 1), np.int64)
+        here[: len(counts)] = counts
+        np.add.at(here, ids, np.repeat(b.column(1).to_numpy(), sizes))
+        counts = here
+    found = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(counts[found], pa.int64())], names=["id", "n"])
 
 
 def head_of(counts: DataFrame, most: int = HEAD) -> dict[bytes, int]:
@@ -224,17 +296,20 @@ def pieces(training: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _refine(batches: Iterable[pa.RecordBatch], model: Broadcast, ranks: Broadcast, rate: float) -> Iterator[pa.RecordBatch]:
-    m = model.value
-    table = Leaves(_subwords(ranks), m["leaf"], m["inside"])
+    m, subwords = model.value, _subwords(ranks)
 
     def groups() -> Iterator[list[np.ndarray]]:
         held: list[np.ndarray] = []
         for b in batches:
-            for h, stretch in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held.append(table.sequence(words_of(piece_of(stretch, h)))[0])
-                if len(held) >= _GROUP:
-                    yield held
-                    held = []
+            if not b.num_rows:
+                continue
+            texts = b.column(1)
+            if PIECE < STRETCH:
+                texts = pa.array([piece_of(t, h) for h, t in zip(b.column(0).to_pylist(), texts.to_pylist())], pa.string())
+            held += Sequences(texts, subwords, m["leaf"], m["inside"]).leaves
+            while len(held) >= _GROUP:
+                yield held[:_GROUP]
+                held = held[_GROUP:]
         if held:
             yield held
 
@@ -276,31 +351,22 @@ _ROWS = "row long, doc_id long, held_out boolean, n_tokens long, head_known long
 
 
 def _score(batches: Iterable[pa.RecordBatch], head: Broadcast, model: Broadcast, ranks: Broadcast) -> Iterator[pa.RecordBatch]:
-    logs, m = head.value, model.value
-    if _held.get("model") is not m:  # a worker's later tasks find the words of the earlier ones
-        _held.update(model=m, table=Leaves(_subwords(ranks), m["leaf"], m["inside"], logs))
-    table = _held["table"]
+    (often, logs), m, subwords = head.value, model.value, _subwords(ranks)
     row = TaskContext.get().partitionId() << 40
     for b in batches:
-        texts = b.column(1).to_pylist()
-        n_tokens, known, sums, tails, sequences, extras = [], [], [], [], [], []
-        for text in texts:
-            words = words_of(text)
-            found = [logs.get(_END), *map(logs.get, words)]
-            here = list(filter(None, found))  # no count of a known word is 0
-            tail = [w for w, x in zip([_END, *words], found) if x is None] if len(here) < len(found) else []
-            n_tokens.append(len(found))
-            known.append(len(here))
-            sums.append(math.fsum(here))
-            tails.append(tail)
-            sequence, extra = table.sequence(words)
-            sequences.append(sequence)
-            extras.append(extra)
-        scores = attention.scores(m["parameters"], sequences) / math.log(10) + np.array(extras)
-        rows = np.arange(row, row + len(texts))
-        row += len(texts)
+        if not b.num_rows:
+            continue
+        found = Sequences(b.column(1), subwords, m["leaf"], m["inside"])
+        n = b.num_rows
+        of_words = logs[pc.fill_null(pc.index_in(found.words, value_set=often), -1).to_numpy()]  # no count of a known word is 0
+        known = found.sums((of_words > 0).astype(np.int64))
+        rare = pa.array(found.at[of_words[found.at] == 0])
+        tails = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(found.n_tokens - known)]), pa.int32()), found.words.take(rare))
+        scores = attention.scores(m["parameters"], found.leaves) / math.log(10) + found.extra
+        rows = np.arange(row, row + n)
+        row += n
         yield pa.RecordBatch.from_arrays(
-            [pa.array(rows, pa.int64()), b.column(0), b.column(2), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores, pa.float64()), pa.array(tails, pa.list_(pa.binary()))],
+            [pa.array(rows, pa.int64()), b.column(0), b.column(2), pa.array(found.n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(found.sums(of_words), pa.float64()), pa.array(scores, pa.float64()), tails],
             names=["row", "doc_id", "held_out", "n_tokens", "head_known", "head_sum", "score", "tail"],
         )
 
@@ -335,7 +401,9 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         model = spark.sparkContext.broadcast(refined(pickle.loads(fitted[0]), drawn, ranks))
     else:
         model = spark.sparkContext.broadcast(fit([], Subwords(raw), frequency, ends, vocabulary))
-    head = spark.sparkContext.broadcast({w: math.log10(n + 1) for w, n in head_of(counts).items()})
+    often = head_of(counts)
+    # For words that aren't among them, a 0 at the end.
+    head = spark.sparkContext.broadcast((pa.array(list(often), pa.binary()), np.append(np.log10(np.array(list(often.values()), float) + 1), 0.0)))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.coalesce(~learn, F.lit(False)).alias("held_out"))
     rows = settled(slim.mapInArrow(partial(_score, head=head, model=model, ranks=ranks), _ROWS))
     rare = rows.select("row", F.explode("tail").alias("word")).join(counts, "word")

@@ -4,8 +4,10 @@ import re
 import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from plexgraph.llm import attention, extract, langid, lm, urltree
@@ -466,6 +468,45 @@ def test_scores_of_odd_rows(odd, none, monkeypatch):
     assert lm.score(none, F.lit(True)).count() == 0
 
 
+def test_a_column_is_cut_as_its_texts_are_with_one_call_for_its_words(monkeypatch):
+    with open(lm.TOKENIZER, "rb") as f:
+        raw = f.read()
+    sub, by_text = lm.Subwords(raw), lm.Subwords(raw)
+    leaf, inside, _ = lm.leaves({i: 50 - i % 50 for i in range(3000)}, 5, 50_256)
+    texts = [None, "", " \t\n ", "The cat\x0bSAT on\x0cthe\r\nMat ", "x" * 1000 + " y " + "z" * 199, " \xa0 \x1c\x85 \U0001f600", "ÀÉ à the cat the", "w" * 200 + " cat"]
+    table, one_by_one = lm.Leaves(by_text, leaf, inside), []
+    monkeypatch.setattr(lm.Subwords, "ids", lambda self, w, ids=lm.Subwords.ids: (self is sub and one_by_one.append(w)) or ids(self, w))
+    for column in (pa.array(texts), pa.array(["before", *texts, "after"]).slice(1, len(texts)), pa.array(texts[:3])):
+        got = lm.Sequences(column, sub, leaf, inside)
+        words = got.words.to_pylist()
+        for k, t in enumerate(column.to_pylist()):
+            sequence, extra = table.sequence(lm.words_of(t))
+            assert got.leaves[k].tolist() == sequence.tolist() and math.isclose(got.extra[k], extra, abs_tol=1e-9)
+            assert [words[i] for i in got.at[got.first[k] :][: got.n_tokens[k]]] == [*lm.words_of(t), b""]
+    assert {len(w) for w in one_by_one} == {200, 1000}  # words of fewer bytes are cut together
+    counted = list(lm._count_words(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]) for _ in range(3)))
+    n = Counter()
+    for b in counted:
+        n.update(dict(zip(b.column("word").to_pylist(), b.column("n").to_pylist())))
+    assert n == Counter(w for t in texts * 3 for w in [*lm.words_of(t), b""])
+    ids = next(lm._count_subwords(iter(counted), SimpleNamespace(value=raw)))
+    assert dict(zip(ids.column("id").to_pylist(), ids.column("n").to_pylist())) == Counter(i for t in texts * 3 for w in lm.words_of(t) for i in by_text.ids(w))
+
+
+def test_steps_are_those_of_adam():
+    rng = np.random.default_rng(6)
+    p = {"a": rng.standard_normal((3, 5)).astype(np.float32), "b": rng.standard_normal(4).astype(np.float32)}
+    adam, want = attention.Adam(p), {k: x.astype(float) for k, x in p.items()}
+    m, v = ({k: np.zeros(x.shape) for k, x in p.items()} for _ in range(2))
+    for t in range(1, 40):
+        g = {k: (rng.standard_normal(x.shape) * 10.0 ** rng.integers(-6, 1, x.shape)).astype(np.float32) for k, x in p.items()}
+        adam.step(g, 1e-2 / t)
+        for k in p:
+            m[k], v[k] = 0.9 * m[k] + 0.1 * g[k], 0.99 * v[k] + 0.01 * g[k].astype(float) ** 2
+            want[k] -= 1e-2 / t * m[k] / (1 - 0.9**t) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
+    assert all(np.allclose(adam.p[k], want[k], atol=1e-5) and not np.allclose(adam.p[k], p[k], atol=1e-3) for k in p)
+
+
 def test_rare_words_leave_the_cache(monkeypatch):
     with open(lm.TOKENIZER, "rb") as f:
         sub = lm.Subwords(f.read())
