@@ -1,11 +1,15 @@
 """Joins on intervals: innermost containment, overlap, and bounded forward as-of.
 
-All have an equi key, so that no nested-loop join arises. A key with very many intervals can be split further by
-``bucket``: intervals are then repeated for each bucket of positions they touch, and points look into one bucket only.
+Containment goes over spans and points in order of position, so that no row is made for each pair that meets; overlap and as-of
+join on an equi key. A key with very many intervals can be split further by ``bucket``: intervals are then repeated for each
+bucket of positions they touch, and points look into one bucket only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,15 +21,43 @@ def _bucketed(points: DataFrame, spans: DataFrame, bucket: int | None) -> tuple[
     return points.withColumn("bucket", at("pos")), spans.withColumn("bucket", F.explode(F.sequence(at("start"), at("stop")))), ["key", "bucket"]
 
 
+def _swept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(point, span, at, ord): each point's innermost span. Rows come by group and position, spans before points.
+
+    The stack holds the spans that may still be innermost: a later one that lasts as long hides an earlier one for good.
+    """
+    stack: list[tuple] = []
+    group = None
+    for b in batches:
+        found: list[tuple] = []
+        for point, span, at, ord_, stop, *now in zip(*(c.to_pylist() for c in b.columns)):
+            if now != group:
+                group = now
+                stack.clear()
+            if stop is not None:
+                while stack and stack[-1][0] <= stop:
+                    stack.pop()
+                stack.append((stop, span, at, ord_))
+                continue
+            while stack and stack[-1][0] < at:
+                stack.pop()
+            found.append((point, *stack[-1][1:]) if stack and point is not None else (point, None, None, None))
+        columns = zip(*found) if found else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, b.schema)], names=b.schema.names[:4])
+
+
 def innermost(points: DataFrame, spans: DataFrame, bucket: int | None = None) -> DataFrame:
     """(point, span): for points (point, key, pos) the span (span, key, start, stop, ord) around it that starts last.
 
-    Ties fall to the later ``ord``; a point outside all spans keeps a null span.
+    Ties fall to the later ``ord``; a point outside all spans keeps a null span. Spans and points of a key (and bucket) are
+    swept once in order of position, so that work grows with their number and not with the pairs that meet.
     """
-    p, s, on = _bucketed(points, spans, bucket)
-    inside = p.join(s, on).where("pos BETWEEN start AND stop")
-    best = inside.groupBy("point").agg(F.max_by("span", F.struct("start", "ord")).alias("span"))
-    return points.select("point").distinct().join(best, "point", "left")
+    p, s, on = _bucketed(points, spans.where("key IS NOT NULL AND start <= stop"), bucket)
+    none = lambda c, of: F.lit(None).cast(of.schema[c].dataType).alias(c)
+    rows = p.select("point", none("span", s), F.col("pos").alias("at"), none("ord", s), none("stop", s), *on).union(s.select(none("point", p), "span", "start", "ord", "stop", *on))
+    swept = rows.repartition(*on).sortWithinPartitions(*on, "at", F.col("stop").isNull(), "ord")
+    found = swept.mapInArrow(_swept, swept.select("point", "span", "at", "ord").schema)
+    return found.groupBy("point").agg(F.max_by("span", F.when(F.col("at").isNotNull(), F.struct("at", "ord"))).alias("span"))
 
 
 def overlapping(spans: DataFrame, others: DataFrame) -> DataFrame:

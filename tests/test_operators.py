@@ -138,6 +138,30 @@ def test_innermost_span_with_and_without_buckets(spark):
     assert pairs(intervals.innermost(points, spans)) == pairs(intervals.innermost(points, spans, 16)) == want
 
 
+def joins(d):
+    return d._jdf.queryExecution().executedPlan().toString().count("Join")
+
+
+def test_innermost_sweeps_each_row_once(spark):
+    import random
+
+    rng = random.Random(7)
+    spans = [(f"s{i}", rng.choice("fg"), (a := rng.randint(0, 60)), a + rng.randint(-2, 30), i) for i in range(200)] + [("x", None, 0, 60, 900)]
+    points = [(i, rng.choice("fgh"), rng.randint(-5, 95)) for i in range(200)] + [(900, None, 5), (901, "f", None), (None, "f", 30)]
+    want = set()
+    for p, key, pos in points:
+        around = [(a, o, s) for s, k, a, b, o in spans if None not in (p, key, pos) and k == key and a <= pos <= b]
+        want.add((p, max(around)[2] if around else None))
+    p, s = df(spark, points, "point long, key string, pos long"), df(spark, spans, "span string, key string, start long, stop long, ord long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # groups go on from one batch to the next
+    try:
+        assert pairs(intervals.innermost(p, s)) == pairs(intervals.innermost(p, s, 16)) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # A join on the key would make a row for each point and span that meet: 40,000 of these.
+    assert joins(intervals.innermost(p, s)) == joins(intervals.innermost(p, s, 16)) == 0
+
+
 def test_url_matches_against_all_pairs(spark):
     rs = [("r1", "/users/{id}", "get"), ("r2", "/users", "post"), ("r3", "/users/:id", "get"), ("r4", "/x/<int:k>/", "get"), ("r5", "", "get")]
     cs = [("c1", "https://h.com/users/{uid}", "get"), ("c2", "/users", "post"), ("c3", "/users/7/", "get"), ("c4", "https://h.com", "get"), ("c5", "/x/{k}", "put")]
