@@ -1,7 +1,7 @@
 """Joins on intervals: innermost containment, overlap, and bounded forward as-of.
 
-Containment goes over spans and points in order of position, so that no row is made for each pair that meets; overlap and as-of
-join on an equi key. A key with very many intervals can be split further by ``bucket``: intervals are then repeated for each
+Containment and as-of go over spans and points in order of position, so that no row is made for each pair that meets; overlap
+joins on an equi key. A key with very many intervals can be split further by ``bucket``: intervals are then repeated for each
 bucket of positions they touch, and points look into one bucket only.
 """
 
@@ -69,15 +69,22 @@ def overlapping(spans: DataFrame, others: DataFrame) -> DataFrame:
 def next_within(points: DataFrame, marks: DataFrame, most: int) -> DataFrame:
     """(point, mark, gap): the first mark (mark, key, pos) at or up to ``most`` behind each point; null if there is none.
 
-    Positions are dealt into buckets of ``most`` + 1: a point looks into its own and the next one, so it meets the marks
-    near it and not all of its key's.
+    Positions are dealt into buckets of ``most`` + 1, each of which also gets the first mark of the next one. A window then
+    carries the nearest mark back to each point, so that no point meets all the marks near it.
     """
     wide = most + 1
-    at = F.floor(F.col("pos") / wide)
-    m = marks.select("key", "mark", F.col("pos").alias("at"), at.alias("bucket"))
-    hit = points.withColumn("bucket", F.explode(F.array(at, at + 1))).join(m, ["key", "bucket"]).where((F.col("at") >= F.col("pos")) & (F.col("at") <= F.col("pos") + most))
-    best = hit.groupBy("point").agg(F.min(F.struct("at", "mark", (F.col("at") - F.col("pos")).alias("gap"))).alias("b"))
-    return points.select("point").distinct().join(best, "point", "left").select("point", F.col("b.mark").alias("mark"), F.col("b.gap").cast("long").alias("gap"))
+    bucket = F.floor(F.col("pos") / wide).alias("bucket")
+    hit = F.struct(F.col("pos").alias("at"), F.col("mark").isNull().alias("bare"), "mark").alias("hit")
+    m = marks.where("key IS NOT NULL AND pos IS NOT NULL").select("key", bucket, "pos", hit)
+    firsts = m.groupBy("key", "bucket").agg(F.min("hit").alias("hit")).select("key", (F.col("bucket") - 1).alias("bucket"), F.col("hit.at").alias("pos"), "hit")
+    seen = m.union(firsts)
+    p = points.select("key", bucket, "pos", F.lit(None).cast(seen.schema["hit"].dataType).alias("hit"), "point", F.lit(True).alias("asks"))
+    rows = seen.select("*", F.lit(None).cast(points.schema["point"].dataType).alias("point"), F.lit(False).alias("asks")).union(p)
+    back = Window.partitionBy("key", "bucket").orderBy(F.desc("pos"), "asks", F.desc("hit")).rowsBetween(Window.unboundedPreceding, 0)
+    near = rows.withColumn("hit", F.last("hit", ignorenulls=True).over(back)).where("asks")
+    gap = (F.col("hit.at") - F.col("pos")).cast("long")
+    best = F.when(F.col("point").isNotNull() & (gap <= most), F.struct("hit", gap.alias("gap")))
+    return near.groupBy("point").agg(F.min(best).alias("b")).select("point", F.col("b.hit.mark").alias("mark"), F.col("b.gap").alias("gap"))
 
 
 def filled_forward(rows: DataFrame, value: str, key: str = "key", pos: str = "pos") -> DataFrame:

@@ -162,6 +162,23 @@ def test_innermost_sweeps_each_row_once(spark):
     assert joins(intervals.innermost(p, s)) == joins(intervals.innermost(p, s, 16)) == 0
 
 
+def test_next_mark_is_carried_to_points(spark):
+    import random
+
+    rng = random.Random(11)
+    marks = [(f"m{i}", rng.choice("fg"), rng.randint(-20, 60)) for i in range(80)] + [("x", None, 9), ("y", "f", None)]
+    points = [(i, rng.choice("fgh"), rng.randint(-40, 80)) for i in range(200)] + [(900, None, 5), (901, "f", None), (None, "f", 9)]
+    p, m = df(spark, points, "point long, key string, pos long"), df(spark, marks, "mark string, key string, pos long")
+    for most in (0, 2, 7, 500):
+        want = set()
+        for q, key, pos in points:
+            near = [(at, n) for n, k, at in marks if None not in (q, key, pos, at) and k == key and pos <= at <= pos + most]
+            want.add((q, min(near)[1], min(near)[0] - pos) if near else (q, None, None))
+        assert pairs(intervals.next_within(p, m, most)) == want
+    # A join would make a row for each point and mark within 500 of it.
+    assert joins(intervals.next_within(p, m, 500)) == 0
+
+
 def test_url_matches_against_all_pairs(spark):
     rs = [("r1", "/users/{id}", "get"), ("r2", "/users", "post"), ("r3", "/users/:id", "get"), ("r4", "/x/<int:k>/", "get"), ("r5", "", "get")]
     cs = [("c1", "https://h.com/users/{uid}", "get"), ("c2", "/users", "post"), ("c3", "/users/7/", "get"), ("c4", "https://h.com", "get"), ("c5", "/x/{k}", "put")]
