@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plexgraph.functions import text
 from plexgraph.operators import changes, components, coupling, deadcode, embedding, flows, incremental, intervals, lookup, resolve, search, structure, traverse, urls
 from plexgraph.plans.projections import NEXT_SQL, PATHS_SQL, TOGETHER_SQL, bought_together, day_changes, next_edges, order_changes, page_paths, part_nodes, trade_edges, trade_nodes
-from plexgraph.session import table
+from plexgraph.session import settle, table
 from plexgraph.streaming import debounce
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -255,7 +255,7 @@ r0 AS (SELECT node, reset AS rank FROM rs), {", ".join(steps)} SELECT node, roun
 
 @query(_ppr_sql(5))
 def ppr_fixed_iterations(spark: SparkSession, sf: str) -> DataFrame:
-    e = next_edges(spark, sf)
+    e = settle(next_edges(spark, sf))
     multi = e.select("src", "dst", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("k"))
     focus = e.select("src").orderBy("src").limit(5).select(F.col("src").alias("node"))
     return components.pagerank(multi, focus, 5).withColumn("rank", F.round("rank", 9))
