@@ -140,7 +140,7 @@ def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
 
     The node's own vote keeps the two ends of an edge from swapping labels for ever. A fixed number of rounds makes the partition deterministic; modularity is not optimised.
     """
-    plain = edges.select("src", "dst").where("src <> dst")
+    plain = settle(edges.select("src", "dst").where("src <> dst"))
     ends = plain.select("src").union(plain.select("dst")).distinct()
     both = settle(plain.union(plain.select("dst", "src")).union(ends.select("src", F.col("src").alias("dst"))))
     label = both.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))

@@ -11,9 +11,9 @@ def pairs(changes: DataFrame, cap: int = 50) -> DataFrame:
 
     The cap is applied before the self-join, which bounds the pairs a commit can give.
     """
-    rows = changes.select("commit", "item").distinct()
-    small = rows.groupBy("commit").agg(F.collect_list("item").alias("items"), F.count(F.lit(1)).alias("n")).where((F.col("n") <= cap) & (F.col("n") > 1))
-    sets = small.select(F.sort_array("items").alias("items"))
+    rows = changes.groupBy("commit").agg(F.collect_set("item").alias("items"), F.max(F.col("item").isNull().cast("int")).alias("bare"))
+    n = F.size("items") + F.col("bare")  # a null item counts, but is in no pair
+    sets = rows.where((n <= cap) & (n > 1)).select(F.sort_array("items").alias("items"))
     firsts = sets.select("items", F.posexplode("items").alias("i", "a"))
     both = firsts.select("a", F.explode(F.slice("items", F.col("i") + 2, F.size("items"))).alias("b"))
     return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("co_changes"))

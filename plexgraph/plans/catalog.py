@@ -283,7 +283,7 @@ tc AS (SELECT ca AS community, (ca = cb)::INT AS i FROM ed UNION ALL SELECT cb,
 SELECT sz.community, size, round(coalesce(sum(i) / count(i), 0), 6) AS cohesion FROM sz LEFT JOIN tc ON sz.community = tc.community GROUP BY 1, 2"""
 )
 def community_cohesion(spark: SparkSession, sf: str) -> DataFrame:
-    e = bought_together(spark, sf)
+    e = settle(bought_together(spark, sf))
     return components.cohesion(e, components.communities(e, 3)).withColumn("cohesion", F.round("cohesion", 6))
 
 

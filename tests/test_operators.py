@@ -22,6 +22,13 @@ def test_coupling_counts_and_totals(spark):
     assert pairs(coupling.coupling(c)) == {("auth", "models", 3, 1.0), ("utils", "views", 1, 0.5)}
 
 
+def test_coupling_takes_sets_and_counts_null_items(spark):
+    c = df(spark, [(1, "a"), (1, "b"), (1, "a"), (2, "a"), (2, "b"), (2, None), (3, "a"), (3, None)], "commit long, item string")
+    assert pairs(coupling.pairs(c, 3)) == {("a", "b", 2)} and pairs(coupling.pairs(c, 2)) == {("a", "b", 1)}
+    # Items are shuffled once by commit, pairs once.
+    assert coupling.pairs(c)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+
+
 def test_fusion_of_two_lists(spark):
     a = df(spark, [("a", 3.0), ("b", 2.0), ("c", 1.0)], "id string, score double")
     b = df(spark, [("b", 3.0), ("d", 2.0), ("a", 1.0)], "id string, score double")

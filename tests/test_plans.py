@@ -23,7 +23,7 @@ def test_lines_are_screened_before_the_shuffle(spark):
     assert plan.count("Join LeftSemi") == 2 and "bit_or(" in plan
 
 
-@pytest.mark.parametrize("name", ["ppr_fixed_iterations", "bfs_depth", "impact_by_depth", "multi_root_reach", "call_path"])
+@pytest.mark.parametrize("name", ["ppr_fixed_iterations", "bfs_depth", "impact_by_depth", "multi_root_reach", "call_path", "community_cohesion", "lpa_fixed_rounds", "community_label"])
 def test_edges_are_made_once(spark, monkeypatch, name):
     made = spark.sparkContext.accumulator(0)
 
